@@ -18,6 +18,12 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
