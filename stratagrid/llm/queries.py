@@ -18,6 +18,12 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.langid import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagrid.llm.simhash import near_duplicates
 
