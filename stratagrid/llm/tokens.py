@@ -126,6 +126,16 @@ class Encoder:
         return self.runs[piece]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(tokenizer_path: str) -> Encoder:
+    """The encoder of this Python worker: tasks that a worker runs in turn share its pieces."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
+
+
 @dataclass
 class Frame:
     """One document in a shard: its id (None if null) and where its frame lies."""
@@ -267,7 +277,7 @@ def write_token_shards(
             if batch.num_rows == 0:
                 continue
             if writer is None:
-                encoder, out = Encoder(tokenizer_path), open_uri(path, "w")
+                encoder, out = encoder_for(tokenizer_path), open_uri(path, "w")
                 writer = ShardWriter(out, level)
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = encoder.ids(body.as_py()) + end
