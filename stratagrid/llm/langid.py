@@ -24,6 +24,7 @@ are ignored; with no labelled rows every text is `und`; an empty table gives an
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -124,6 +125,7 @@ class Crf:
     transitions: np.ndarray
     start: np.ndarray
     lexicon: dict[str, int] = field(default_factory=dict)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         return features(words, self.lexicon, len(self.langs)).scores(self.weights).astype(np.float32)
@@ -336,6 +338,17 @@ class Labeller:
         return out
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def labeller_for(model: Crf) -> Labeller:
+    """The labeller of this Python worker: tasks that a worker runs in turn share its word scores."""
+    if model.key not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[model.key] = Labeller(model)
+    return _LABELLERS[model.key]
+
+
 def held_out(doc_id: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:
     """Whether a row is kept from learning: CRC-32 of the id as text, by its remainder."""
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -367,7 +380,7 @@ def predict_languages(docs: DataFrame, model: Crf, *, text_col: str = "text", id
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
+        labeller = labeller_for(model)
         for b in batches:
             lang, score, words, switches = [], [], [], []
             for post in labeller.label(b.column(2).to_pylist()):
@@ -396,7 +409,7 @@ def language_spans(docs: DataFrame, model: Crf, *, text_col: str = "text", id_co
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
+        labeller = labeller_for(model)
         for b in batches:
             out: list[tuple] = []
             for doc_id, post in zip(b.column(0).to_pylist(), labeller.label(b.column(1).to_pylist()), strict=True):
