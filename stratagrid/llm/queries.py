@@ -30,6 +30,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.sketch import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagrid.llm.simhash import near_duplicates
 
