@@ -18,6 +18,18 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.licences import licence_report
+
+    return licence_report(table(spark, sf_dir, "documents"))
+
+
+def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.linededup import page_report
+
+    return page_report(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagrid.llm.langid import identify_languages
 
@@ -53,4 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from stratagrid.llm import linededup
+
+    return {"op3_site_lines": linededup.report_sql()}
