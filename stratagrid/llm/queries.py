@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratagrid.session import table
 
@@ -54,6 +55,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Target shares of the mix; sources that are not named have one share.
+SHARES = {"src0": 6, "src1": 3, "src2": 3, "src3": 2}
+
+
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs, SHARES)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.quality import score_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_quality(docs, labels, host=F.col("source"), path=F.col("lang"))
+    return scored.select("doc_id", "source", "lang", "quality_evidence", "host_posterior", "path_posterior", "quality_posterior", "quality_keep")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratagrid.llm.pii import personal_data_report
 

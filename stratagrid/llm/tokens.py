@@ -218,8 +218,10 @@ class ShardReader:
         return raw
 
     def find(self, doc_id: int) -> list[int]:
-        """Frames of a document id; ids ascend, so this is a binary search."""
+        """Frames of a document id: a binary search where ids ascend, else a scan of the index."""
         first = int(self.null.sum())
+        if self.null[first:].any() or (np.diff(self.ids[first:]) < 0).any():
+            return np.flatnonzero((self.ids == doc_id) & ~self.null).tolist()
         a, b = np.searchsorted(self.ids[first:], [doc_id, doc_id + 1]) + first
         return list(range(int(a), int(b)))
 
