@@ -1,33 +1,8 @@
-"""Named queries of the library and their DuckDB equivalents."""
+"""All named queries: importing this module registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from stratagrid.plans import q_aggregate, q_cells, q_census, q_geo, q_ml, q_sampling, q_series  # noqa: F401
+from stratagrid.plans.registry import oracle_sql, queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under a name, with its DuckDB text if there is one."""
-
-    def add(f: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+__all__ = ["oracle_sql", "queries"]
