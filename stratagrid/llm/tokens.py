@@ -45,6 +45,7 @@ CHECKSUM_FLAG = 0x80
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _PUNCT = "!-&(-/:-@\\[-`{-~"
+_WORD = re.compile(f"[{_LETTERS}]+")
 _HAS_WS = re.compile(f"[{_WS}]")
 _WORD_PUNCT = re.compile(f"([{_LETTERS}]+)([{_PUNCT}]+)")
 _ANY = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
@@ -59,9 +60,9 @@ class _Irregular(Exception):
 class _Pieces(dict):
     """Token bytes of words without white space, as they stand after lead (a space or nothing)."""
 
-    def __init__(self, encode, lead: str, bare: _Pieces | None = None):
+    def __init__(self, encode, word_ids, lead: str, bare: _Pieces | None = None):
         super().__init__()
-        self.encode, self.lead, self.bare = encode, lead, bare
+        self.encode, self.word_ids, self.lead, self.bare = encode, word_ids, lead, bare
 
     def __missing__(self, word: str) -> bytes:
         if not word or _HAS_WS.search(word):
@@ -69,8 +70,9 @@ class _Pieces(dict):
         if len(self) >= CACHE_PIECES:
             self.clear()
         # letters end where ASCII punctuation begins, so the two parts are encoded apart
-        m = _WORD_PUNCT.fullmatch(word)
-        if m:
+        if _WORD.fullmatch(word):
+            found = self.word_ids(self.lead + word)
+        elif m := _WORD_PUNCT.fullmatch(word):
             found = self[m[1]] + (self if self.bare is None else self.bare)[m[2]]
         else:
             found = self.encode(self.lead + word)
@@ -84,6 +86,8 @@ class Encoder:
     The byte-level pre-tokenizer never joins characters across a single space or newline that
     stands between other characters, so pieces cut there have the ids they have in the text.
     Texts with other white space are cut by the pre-tokenizer's own white-space rule instead.
+    Letters after at most one space are one pre-token, so they go straight to the model. With any
+    other kind of tokenizer whole texts are encoded.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -95,9 +99,18 @@ class Encoder:
         def encode(s: str) -> bytes:
             return np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
+        # the byte-level alphabet: printable bytes are themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        tokenize, pre = tok.model.tokenize, tok.pre_tokenizer
+        self.by_piece = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and tok.normalizer is None and all(a.special for a in tok.get_added_tokens_decoder().values())
+
+        def word_ids(s: str) -> bytes:
+            return np.array([t.id for t in tokenize(s.encode().decode("latin-1").translate(alphabet))], "<u4").tobytes()
+
         self.newline = encode("\n")
-        self.first = _Pieces(encode, "")
-        self.spaced = _Pieces(encode, " ", self.first)
+        self.first = _Pieces(encode, word_ids, "")
+        self.spaced = _Pieces(encode, word_ids, " ", self.first)
         self.encode = encode
         self.runs: dict[str, bytes] = {}
 
@@ -105,6 +118,8 @@ class Encoder:
         """Little-endian 32-bit ids of a text."""
         if not text:
             return b""
+        if not self.by_piece:
+            return self.encode(text)
         try:
             lines = []
             for line in text.split("\n"):

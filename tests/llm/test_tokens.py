@@ -29,6 +29,14 @@ def test_pieces_have_the_ids_of_the_whole_text():
         assert np.frombuffer(e.ids(text), "<u4").tolist() == plain(text)[:-1].tolist(), text
 
 
+def test_other_kinds_of_tokenizer_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, t = tokens.Encoder(path), Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    for text in TEXTS:
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
     e = tokens.Encoder(PATH)
