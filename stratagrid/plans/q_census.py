@@ -35,7 +35,7 @@ def unpivot_long(spark: SparkSession, sf: str) -> DataFrame:
     "census_normalize",
     """WITH c AS (SELECT c_custkey, n_name || '.' || c_mktsegment || '.' || c_custkey AS gaz_name, o_orderpriority AS onto_match, o_orderstatus AS onto_name, strftime(o_orderdate, '%Y-%m-%d') AS y, o_totalprice - 50000 AS heads
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-m AS (SELECT *, CASE WHEN lower(onto_match) = '1-urgent' THEN 'Cattle' WHEN lower(onto_match) = '2-high' THEN 'Goat' ELSE onto_name END AS name, CAST(len(string_split(gaz_name, '.')) AS BIGINT) AS level, string_split(gaz_name, '.')[1] AS country, CAST(substr(y, 1, 6) AS INT) AS year FROM c)
+m AS (SELECT *, CASE WHEN lower(onto_match) = '1-urgent' THEN 'Cattle' WHEN lower(onto_match) = '2-high' THEN 'Goat' ELSE onto_name END AS name, CAST(len(string_split(gaz_name, '.')) AS BIGINT) AS level, string_split(gaz_name, '.')[1] AS country, CAST(substr(y, 1, 4) AS INT) AS year FROM c)
 SELECT country, lower(name) AS animal, year, level, count(*) AS n, round(avg(heads), 6) AS heads FROM m WHERE year >= 1997 AND level >= 2 AND name IN ('Cattle', 'Goat') AND heads >= 0 GROUP BY ALL""",
 )
 def census_normalize(spark: SparkSession, sf: str) -> DataFrame:
