@@ -143,12 +143,10 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_or_empty(text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
-    rows = with_next(rows, "key", ["text"], "tie")
+    rows = with_next(add_sketch(rows, F.col("text"), "sketch", k, words), "key", ["text", "sketch"], "tie")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))})
-    rows = add_sketch(rows, F.col("text"), "sketch", k, words)
-    rows = add_sketch(rows, F.col("next_text"), "next_sketch", k, words)
     return add_sketch(rows, F.col("edited"), "edited_sketch", k, words)
 
 
