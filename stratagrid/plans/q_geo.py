@@ -1 +1,83 @@
-"""Queries."""
+"""Queries of geometry on squares and grids made from parts and customers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratagrid.operators import geometry as G
+from stratagrid.plans.registry import query
+from stratagrid.session import table
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 97 + 0.5).alias("x"), (F.col("c_acctbal") / 100).alias("y"))
+
+
+def _squares(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    x, y = (F.col("s_suppkey") * 7 % 90).cast("double"), F.col("s_acctbal") / 100
+    return s.select("s_suppkey", G.envelope(x, y, 6.0).alias("rings"))
+
+
+_PTS = "p AS (SELECT c_custkey, c_custkey % 97 + 0.5 AS x, c_acctbal / 100 AS y FROM customer), s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS sx, s_acctbal / 100 AS sy FROM supplier)"
+
+
+@query("geom_area", "SELECT s_suppkey, 144.0::DOUBLE AS area FROM supplier")
+def geom_area(spark: SparkSession, sf: str) -> DataFrame:
+    return _squares(spark, sf).select("s_suppkey", F.round(G.polygon_area(F.col("rings")), 6).alias("area"))
+
+
+@query("point_in_polygon", f"WITH {_PTS} SELECT c_custkey, s_suppkey FROM p JOIN s ON x > sx - 6 AND x < sx + 6 AND y > sy - 6 AND y < sy + 6")
+def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    return G.join_points_polygons(_points(spark, sf), _squares(spark, sf), "x", "y", "rings", 8.0).select("c_custkey", "s_suppkey")
+
+
+@query("point_tile_left", f"WITH {_PTS} SELECT c_custkey, s_suppkey FROM p LEFT JOIN s ON s_suppkey < 3 AND x > sx - 6 AND x < sx + 6 AND y > sy - 6 AND y < sy + 6")
+def point_tile_left(spark: SparkSession, sf: str) -> DataFrame:
+    return G.join_points_polygons(_points(spark, sf), _squares(spark, sf).where("s_suppkey < 3"), "x", "y", "rings", 8.0, "left").select("c_custkey", "s_suppkey")
+
+
+@query("tile_of_point", f"WITH {_PTS} SELECT c_custkey, CAST(floor((100 - y) / 10) * 10 + floor(x / 10) AS BIGINT) AS tile_id FROM p")
+def tile_of_point(spark: SparkSession, sf: str) -> DataFrame:
+    return G.join_points_tiles(_points(spark, sf), "x", "y", 0.0, 100.0, 10.0, 10).select("c_custkey", "tile_id")
+
+
+@query("tile_index", "SELECT t AS tile_id, -180.0 + (t % 36) * 10 AS x0, 90.0 - (t // 36 + 1) * 10 AS y0, -180.0 + (t % 36 + 1) * 10 AS x1, 90.0 - (t // 36) * 10 AS y1 FROM range(648) AS r(t)")
+def tile_index(spark: SparkSession, sf: str) -> DataFrame:
+    return G.tiles(-180.0, -90.0, 180.0, 90.0, 10.0, spark)
+
+
+@query(
+    "rasterize_count",
+    "WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS sx, s_acctbal / 100 AS sy FROM supplier), g AS (SELECT s_suppkey, c, r, sx, sy FROM s, range(-8, 100) AS a(c), range(-20, 110) AS b(r)) SELECT r AS row, c AS col, count(*) AS n FROM g WHERE c + 0.5 > sx - 6 AND c + 0.5 < sx + 6 AND r + 0.5 > sy - 6 AND r + 0.5 < sy + 6 GROUP BY 1, 2",
+)
+def rasterize_count(spark: SparkSession, sf: str) -> DataFrame:
+    return G.rasterize(_squares(spark, sf), "rings", 1.0).groupBy("row", "col").agg(F.count("*").alias("n"))
+
+
+@query("clip_boxes", "WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS x, s_acctbal / 100 AS y FROM supplier) SELECT s_suppkey, greatest(x - 6, 10) AS x0, greatest(y - 6, 10) AS y0, least(x + 6, 80) AS x1, least(y + 6, 80) AS y1 FROM s")
+def clip_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return _squares(spark, sf).select("s_suppkey", G.clip_box(G.bounds(F.col("rings")), 10, 10, 80, 80).alias("b")).select("s_suppkey", "b.*")
+
+
+@query(
+    "proximity",
+    "WITH g AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS row, l_partkey % 60 AS col FROM lineitem), s AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS row, l_partkey % 60 AS col FROM lineitem WHERE l_extendedprice > 99000), d AS (SELECT g.row, g.col, min(sqrt(CAST((g.row - s.row) * (g.row - s.row) + (g.col - s.col) * (g.col - s.col) AS DOUBLE))) AS d FROM g, s GROUP BY 1, 2) SELECT row, col, CASE WHEN d <= 5 THEN round(d, 6) END AS distance FROM d",
+)
+def proximity(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    cells = li.groupBy(F.col("l_quantity").cast("long").alias("row"), (F.col("l_partkey") % 60).alias("col")).agg(F.max("l_extendedprice").alias("top"))
+    return G.proximity(cells, F.col("top") > 99000, 5).select("row", "col", F.round("distance", 6).alias("distance"))
+
+
+@query("homolosine", "SELECT c_custkey, round(6378137.0 * (radians(CASE WHEN lat >= 0 THEN CASE WHEN lon < -40 THEN -100 ELSE 30 END ELSE CASE WHEN lon < -100 THEN -160 WHEN lon < -20 THEN -60 WHEN lon < 80 THEN 20 ELSE 140 END END) + radians(lon - CASE WHEN lat >= 0 THEN CASE WHEN lon < -40 THEN -100 ELSE 30 END ELSE CASE WHEN lon < -100 THEN -160 WHEN lon < -20 THEN -60 WHEN lon < 80 THEN 20 ELSE 140 END END) * cos(radians(lat))), 3) AS x, round(6378137.0 * radians(lat), 3) AS y FROM (SELECT c_custkey, c_custkey % 360 - 179.5 AS lon, c_acctbal % 40 AS lat FROM customer)")
+def homolosine(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = G.homolosine(F.col("c_custkey") % 360 - 179.5, F.col("c_acctbal") % 40)
+    return table(spark, sf, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query("enclosing_circle", "SELECT s_suppkey, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS x, round(s_acctbal / 100, 6) AS y, round(6 * sqrt(2), 6) AS radius FROM supplier")
+def enclosing_circle(spark: SparkSession, sf: str) -> DataFrame:
+    c = G.enclosing_radius(_squares(spark, sf), "s_suppkey", "rings")
+    return c.select("s_suppkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("radius", 6).alias("radius"))
