@@ -88,11 +88,11 @@ def tweedie_power2(spark: SparkSession, sf: str) -> DataFrame:
     return _prices(spark, sf).groupBy("g").agg(F.round(F.avg(M.tweedie_deviance(F.col("y"), F.col("p"), 2)), 6).alias("deviance"))
 
 
-@query("interval_percentile", "SELECT l_partkey AS cell, round(quantile_cont(l_extendedprice, 0.05), 4) AS low, round(avg(l_extendedprice), 6) AS mean, round(quantile_cont(l_extendedprice, 0.95), 4) AS high, median(l_extendedprice) AS middle FROM lineitem GROUP BY 1")
+@query("interval_percentile", "SELECT l_partkey AS cell, round(quantile_cont(l_extendedprice, 0.05), 4) AS low, round(sum(l_extendedprice), 2) AS total, round(quantile_cont(l_extendedprice, 0.95), 4) AS high, median(l_extendedprice) AS middle FROM lineitem GROUP BY 1")
 def interval_percentile(spark: SparkSession, sf: str) -> DataFrame:
     q = F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.95)))
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("cell")).agg(q.alias("q"), F.round(F.avg("l_extendedprice"), 6).alias("mean"), F.median("l_extendedprice").alias("middle"))
-    return g.select("cell", F.round(F.element_at("q", 1), 4).alias("low"), "mean", F.round(F.element_at("q", 2), 4).alias("high"), "middle")
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("cell")).agg(q.alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.median("l_extendedprice").alias("middle"))
+    return g.select("cell", F.round(F.element_at("q", 1), 4).alias("low"), "total", F.round(F.element_at("q", 2), 4).alias("high"), "middle")
 
 
 @query(

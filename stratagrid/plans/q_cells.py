@@ -70,11 +70,11 @@ def geom_temp(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bimonth_mean",
-    "WITH m AS (SELECT o_custkey % 50 AS cell, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, round(avg(o_totalprice), 4) AS v FROM orders GROUP BY 1, 2, 3) SELECT cell, year, CAST(ceil(month / 2.0) AS INT) AS period, CASE WHEN count(v) = 2 THEN round(avg(v), 6) END AS v FROM m GROUP BY 1, 2, 3",
+    "WITH m AS (SELECT o_custkey % 50 AS cell, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2, 3) SELECT cell, year, CAST(ceil(month / 2.0) AS INT) AS period, CASE WHEN count(v) = 2 THEN avg(v) END AS v FROM m GROUP BY 1, 2, 3",
 )
 def bimonth_mean(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("cell"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("v"))
-    return m.groupBy("cell", "year", F.ceil(F.col("month") / 2).cast("int").alias("period")).agg(F.when(F.count("v") == 2, F.round(F.avg("v"), 6)).alias("v"))
+    m = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("cell"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return m.groupBy("cell", "year", F.ceil(F.col("month") / 2).cast("int").alias("period")).agg(F.when(F.count("v") == 2, F.avg("v")).alias("v"))
 
 
 @query("annual_mean", "SELECT o_custkey % 50 AS cell, CAST(year(o_orderdate) AS INT) AS year, round(avg(o_totalprice) * 36.5, 6) AS annual, round(max(o_totalprice), 2) AS top, round(stddev_pop(o_totalprice), 3) AS sd FROM orders GROUP BY 1, 2")
