@@ -142,3 +142,8 @@ def normal_tail(z: Column) -> Column:
     t = 1 / (1 + 0.3275911 * x)
     poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
     return poly * F.exp(-x * x)
+
+
+def cell_centre(row: Column, col: Column, x0: float, y0: float, res: float) -> tuple[Column, Column]:
+    """(x, y) of a cell's centre; (x0, y0) is the upper left corner of the grid."""
+    return x0 + (col + 0.5) * res, y0 - (row + 0.5) * res

@@ -83,3 +83,10 @@ def min_max(df: DataFrame, value: str, name: str, low: float = 0.1) -> DataFrame
 def histogram(df: DataFrame, x: str, y: str, width: float, height: float) -> DataFrame:
     """(bx, by, n): counts of a two-dimensional grid."""
     return df.groupBy(F.floor(F.col(x) / width).alias("bx"), F.floor(F.col(y) / height).alias("by")).agg(F.count("*").alias("n"))
+
+
+def choose_keys(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """(draw, key): n draws of a distinct key with replacement; each draw takes the key of least hash."""
+    draws = df.select(F.col(key).alias("key")).distinct().select("key", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("draw"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("key").cast("string")))
+    return draws.groupBy("draw").agg(F.min_by("key", h).alias("key"))
