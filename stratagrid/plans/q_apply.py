@@ -48,9 +48,9 @@ def class_mean_std(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("class")).agg(*each)
 
 
-@query("cell_mean_std", f"WITH {USER_DAYS} SELECT cell, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std FROM ud GROUP BY 1")
+@query("cell_mean_std", f"WITH {USER_DAYS} SELECT cell, round(avg(v), 10) AS mean, round(stddev_pop(v), 8) AS std FROM ud GROUP BY 1")
 def cell_mean_std(spark: SparkSession, sf: str) -> DataFrame:
-    return user_days(spark, sf).groupBy("cell").agg(F.round(F.avg("v"), 5).alias("mean"), F.round(F.stddev_pop("v"), 5).alias("std"))
+    return user_days(spark, sf).groupBy("cell").agg(F.round(F.avg("v"), 10).alias("mean"), F.round(F.stddev_pop("v"), 8).alias("std"))
 
 
 @query("max_repeated", f"WITH {PART_YEARS} SELECT cell, year, v, max(v) OVER (PARTITION BY cell) AS top FROM py")
