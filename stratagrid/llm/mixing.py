@@ -10,8 +10,9 @@ number of rows: slot = period * Q + place in the period.
 When a source has no blocks left a new phase begins: the other sources go on with the weights
 that their shares give among themselves. No row is dropped or repeated.
 
-Ranks within a source come from counts by hash range and a rank within each range, so a source
-that holds a third of all rows is many ranges. The driver sees one count a source (at most
+Ranks within a source come from counts by hash range and a rank within each range. Unless
+rows_per_range is stated a range holds about as many rows as the largest source has ranges (the
+root of its rows), so a source that holds a third of all rows is many ranges at every size. The driver sees one count a source (at most
 max_sources) and one period a phase (at most max_period slots).
 
 Defined results: a null source is the source ''; a null id or text takes part; equal rows take
@@ -21,6 +22,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +78,7 @@ def mix_sources(
     default_share: int = 1,
     block_rows: int = 16,
     seed: int = 17,
-    rows_per_range: int = 20_000,
+    rows_per_range: int | None = None,
     max_sources: int = 1000,
     max_period: int = 10_000,
     id_col: str = "doc_id",
@@ -97,7 +100,8 @@ def mix_sources(
         raise ValueError(f"the shares add up to over {max_period}: state coarser ones")
     if not counts:
         return docs.withColumns({"mix_slot": F.lit(0).cast("long"), "mix_order": F.lit(0).cast("long")})
-    bits = max(0, min(32, (max(counts.values()) // rows_per_range).bit_length()))
+    most = max(counts.values())
+    bits = max(0, min(32, (most // (rows_per_range or math.isqrt(most))).bit_length()))
     rows = rows.withColumn(bucket, F.shiftright(F.col(h), 64 - bits) if bits else F.lit(0).cast("long"))
     sizes = rows.groupBy(src, bucket).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
