@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from stratagrid.llm.common import scratch
 from stratagrid.llm.decontam import drop_contaminated
 from stratagrid.llm.mixing import in_mixed_order
+from stratagrid.llm.nearcopies import drop_near_copies
 from stratagrid.llm.quality import keep_quality
 from stratagrid.llm.queries import SHARES
-from stratagrid.llm.simhash import drop_near_duplicates
 from stratagrid.llm.tokens import token_table
 from stratagrid.session import table
 
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by SimHash."""
-    return drop_near_duplicates(docs)
+    """One document, that of the least id, of each group linked at five-word shingle similarity of 0.8 or more."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

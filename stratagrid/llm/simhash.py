@@ -48,6 +48,11 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
         starts = [0, *ends]
         n = len(parts) - words + 1
         raw = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :])])
+    return bits_over_half(raw, n)
+
+
+def bits_over_half(raw: bytes, n: int) -> int:
+    """The bits that over half of n 64-bit hashes have."""
     bits = np.unpackbits(np.frombuffer(raw, "u1").reshape(n, 8), axis=1)
     counts = bits.sum(axis=0, dtype=np.int64) if n < 256 else sum(bits[i : i + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for i in range(0, n, 255))
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
@@ -146,7 +151,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     prints = written(fingerprints(docs, id_col, text_col, words, seed), "simhash-prints")
     of = prints.join(classes(prints, radius), "fp")
-    kept = of.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("n")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
+    return one_of_each(docs, of, [F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("n")], id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, of: DataFrame, keys: list, id_col: str, text_col: str) -> DataFrame:
+    """The documents with one of each group (doc_id and text_hash in of, grouped by keys) kept."""
+    kept = of.groupBy(*keys).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
     repeated = of.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     kept, repeated = written(kept, "simhash-kept"), written(repeated, "simhash-repeated")
     mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_kept_hash"))
@@ -154,6 +164,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if repeated.isEmpty():
         return out
     again = out.join(repeated, mine, "left_semi")
-    keys = [F.col(f"`{id_col}`").cast("long").alias("_i"), F.xxhash64(text_or_empty(text_col)).alias("_h")]
-    one = again.withColumns({"_i": keys[0], "_h": keys[1]}).dropDuplicates(["_i", "_h"]).drop("_i", "_h")
+    own = [F.col(f"`{id_col}`").cast("long").alias("_i"), F.xxhash64(text_or_empty(text_col)).alias("_h")]
+    one = again.withColumns({"_i": own[0], "_h": own[1]}).dropDuplicates(["_i", "_h"]).drop("_i", "_h")
     return out.join(repeated, mine, "left_anti").unionByName(one)
