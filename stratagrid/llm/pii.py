@@ -7,8 +7,11 @@ tried again.
 Sanitisation: every value found is a protected entity e. Its disclosure is measured against the
 corpus: a term t discloses the share PMI(t; e) / IC(e) of it, with IC(e) = log2(N / df(e)) and
 PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e))); df counts documents, df(t, e) those with t in a
-line that holds e, N all documents. Only terms met with e in at least min_support documents are
-judged. A share of at least remove_at removes the term from the lines of e, one of at least
+line that holds e, N all documents. Every value and every term met with it is judged. A pair met
+in fewer than min_support documents says less, so its share of e's documents is drawn towards that
+of the corpus by one document: PMI = log2(((df(t, e) + df(t) / N) / (df(e) + 1)) / (df(t) / N)). A
+value met once can still lose its terms: one that is met nowhere else has a share of about
+1 - 1 / log2(N). A share of at least remove_at removes the term from the lines of e, one of at least
 generalise_at replaces it with its class. Both add spans of kind `term` to the base ones.
 
 Everything is DataFrame expressions. The patterns are written so that a match never needs more
@@ -133,11 +136,13 @@ def _near(held: DataFrame) -> DataFrame:
 def disclosures(near: DataFrame, held: DataFrame, texts: DataFrame, total: int, *, min_support: int = 3, generalise_at: float = 0.6) -> DataFrame:
     """(e, t, share): terms (by hash) that disclose a protected value (by hash) to that share."""
     of_value = held.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(F.lower(s["value"]))))).alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
-    pairs = near.select("row", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("df_te")).where(F.col("df_te") >= min_support)
+    pairs = near.select("row", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("df_te"))
     # every term of the corpus, counted within each task before the shuffle
     of_term = texts.select(F.explode(F.array_distinct(F.transform(_terms_of_corpus(F.col("text")), lambda t: F.xxhash64(t)))).alias("t")).groupBy("t").agg(F.count("*").alias("df_t"))
     n = F.lit(float(total))
-    share = F.log2(n * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9))
+    plain = n * F.col("df_te") / (F.col("df_t") * F.col("df_e"))
+    rare = (n * F.col("df_te") + F.col("df_t")) / (F.col("df_t") * (F.col("df_e") + 1))
+    share = F.log2(F.when(F.col("df_te") >= min_support, plain).otherwise(rare)) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9))
     found = pairs.join(of_value, "e").join(of_term, "t").select("e", "t", F.least(F.lit(1.0), share).alias("share"))
     return found.where(F.col("share") >= generalise_at)
 

@@ -110,3 +110,16 @@ def test_nulls_repeats_and_empty(spark):
     got = P.personal_data_report(docs).collect()
     assert sorted((r["n_email"] for r in got)) == [0, 1, 1, 1]
     assert P.personal_data_report(docs.limit(0)).collect() == []
+
+
+def test_values_met_once_or_twice_are_judged(spark):
+    rows = [(i, f"the paper of today {i}") for i in range(2000)]
+    rows[7] = (7, "the paper of Quillfeather jane@acme.org today")
+    rows[8] = rows[9] = (8, "the Ombersley paper of bob@acme.org today")
+    for i in range(10, 30):
+        rows[i] = (i, "some Lisbon paper of today" + (" eve@acme.org" if i == 10 else ""))
+    got = {r["doc_id"]: r for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {d: [(rows[d][1][s["start"] : s["end"]], s["action"]) for s in got[d]["spans"] if s["kind"] == "term"] for d in (7, 8, 10)}
+    # shares log2((2000 + 1) / 2) / log2(2000), log2((4000 + 2) / (2 * 3)) / log2(1000); Lisbon and some: log2((2000 + 20) / 40) / log2(2000) = 0.52
+    assert terms == {7: [("Quillfeather", "remove")], 8: [("Ombersley", "remove")], 10: []}
+    assert got[7]["sanitised"] == "the paper of  [EMAIL] today"
