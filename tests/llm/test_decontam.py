@@ -97,3 +97,17 @@ def test_drop_keeps_clean_rows_and_columns(spark):
     assert D.benchmark_matches(docs.limit(0), items).collect() == []
     got = sorted((tuple(r)[:2] for r in D.benchmark_matches(docs, items).collect()), key=str)
     assert got == [(1, 5)] * 4 + [(None, 5)] * 2
+
+
+def test_recall_of_every_length_at_the_edit_limit():
+    for n in (8, 9, 10, 12, 15, 16, 17, 18, 20, 24, 25, 40):
+        rng = random.Random(3 + n)
+        items = [(k, rng.choices(range(2000), k=n)) for k in range(300)]
+        index = D.Index([(k, " ".join(f"w{x}" for x in w)) for k, w in items], 0.8, 4, 8, 11)
+        docs = []
+        for k, w in items:
+            around = [[f"w{x}" for x in rng.choices(range(2000), k=rng.randint(0, 60))] for _ in range(2)]
+            text = around[0] + edited(rng, [f"w{x}" for x in w], n // 5) + around[1]
+            docs.append((k, np.array([index.vocab.get(x, 0) for x in text], np.int32)))
+        got = {m[:2] for m in D._match_group(index, docs)}
+        assert sum((k, k) in got for k, _ in items) >= 0.99 * len(items), n
