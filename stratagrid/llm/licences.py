@@ -138,22 +138,40 @@ def _outermost(matches: Column) -> Column:
     return F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o["n"] > m["n"]) & (o["first"] <= m["first"]) & (o["first"] + o["n"] >= m["first"] + m["n"])))
 
 
-def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, matches (licence, rule, first, n, in the line reading, then those of the flow reading only), n_known."""
+def _in_text(matches: Column, sizes: Column) -> Column:
+    """Matches with where they begin and end in letters and digits, which both readings share."""
+    upto = lambda n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    return F.transform(matches, lambda m: F.struct(m.alias("m"), upto(m["first"]).alias("start"), upto(m["first"] + m["n"]).alias("end")))
+
+
+def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by_place: bool = False) -> DataFrame:
+    """doc_id, matches (licence, rule, first, n, in the line reading, then those of the flow reading only), n_known.
+
+    A flow match counts as found in the line reading if that has the licence anywhere; with
+    by_place only if it has the same rule in an overlapping stretch of the text.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     cue = F.lower(F.col("text")).rlike("|".join(CUES))
     rows = rows.withColumns({"lines": F.when(cue, sequence_of(F.col("text"))).otherwise(""), "flow": F.when(cue, sequence_of(F.translate("text", "\n", " "))).otherwise("")})
     known = lambda c: F.regexp_replace(c, "-", "")
-    rows = rows.select("doc_id", *[F.when(known(c) != "", F.col(c)).otherwise("").alias(c) for c in ("lines", "flow")])
+    rows = rows.select("doc_id", "text", *[F.when(known(c) != "", F.col(c)).otherwise("").alias(c) for c in ("lines", "flow")])
     rows = rows.withColumns({"a": rule_matches(F.col("lines")), "b": rule_matches(F.col("flow"))})
     rows = rows.withColumns({"a": _outermost(F.col("a")), "b": _outermost(F.col("b"))})
     more = F.filter("b", lambda m: ~F.exists("a", lambda o: o["licence"] == m["licence"]))
+    if by_place:
+        sizes = lambda t: F.transform(sentences(t), lambda s: F.length(F.replace(s, F.lit(" "), F.lit(""))))
+        both = (F.size("a") > 0) & (F.size("b") > 0) & (F.col("lines") != F.col("flow"))
+        rows = rows.withColumns({"sa": F.when(both, sizes(F.col("text"))), "sb": F.when(both, sizes(F.translate("text", "\n", " ")))})
+        rows = rows.withColumns({"pa": F.when(both, _in_text(F.col("a"), F.col("sa"))), "pb": F.when(both, _in_text(F.col("b"), F.col("sb")))})
+        met = lambda x: F.exists("pa", lambda o: (o["m"]["rule"] == x["m"]["rule"]) & (o["start"] < x["end"]) & (o["end"] > x["start"]))
+        apart = F.transform(F.filter("pb", lambda x: ~met(x)), lambda x: x["m"])
+        more = F.when(both, apart).when(F.size("a") == 0, F.col("b")).otherwise(F.array().cast(MATCH))
     return rows.select("doc_id", F.concat("a", more).alias("matches"), F.greatest(F.length(known(F.col("lines"))), F.length(known(F.col("flow")))).cast("long").alias("n_known"))
 
 
 def licence_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, licences (sorted, comma-joined), rules (rule:first:n), n_known of every row."""
-    out = scan_licences(docs, **options)
+    out = scan_licences(docs, **{"by_place": True} | options)
     return out.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"]))), ",").alias("licences"),

@@ -64,3 +64,14 @@ def test_scan_against_brute_force(spark):
     rows = {r["doc_id"]: r for r in L.licence_report(docs).collect()}
     assert rows[153]["licences"] == "CC-BY-NC-4.0" and rows[154]["rules"] == "gpl-3.0-work:1:1" and rows[155]["licences"] == ""
     assert L.licence_report(docs.limit(0)).collect() == []
+
+
+def test_report_keeps_wrapped_rules_beside_others_of_the_licence(spark):
+    ids = dict((r[0], r[2]) for r in L.RULES)["mit-text"]
+    full = ". ".join(L.SENTENCES[i].capitalize() for i in ids) + "."
+    wrapped = full.replace(" of ", "\nof ").replace(" the ", "\nthe ")
+    texts = [f"Released under the MIT License.\n{wrapped}", f"{full}\n{full}", f"{full}\nMore.\n{wrapped}", wrapped, full.replace(". ", ".\n"), "Released under the MIT License."]
+    got = {r["doc_id"]: r["rules"] for r in L.licence_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == "mit-released:0:1,mit-text:1:4"
+    assert got[1] == "mit-text:0:4,mit-text:4:4" and got[3] == got[4] == "mit-text:0:4" and got[5] == "mit-released:0:1"
+    assert got[2].count("mit-text") == 2
