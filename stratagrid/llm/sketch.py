@@ -24,11 +24,12 @@ from stratagrid.llm.common import text_or_empty
 K = 128
 WORDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACES = "\t\n\x0b\f\r"
 
 
 def word_hashes(text: Column) -> Column:
     """64-bit hash of each word of a text."""
-    words = F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.translate(text, _UPPER + _SPACES, _LOWER + " " * len(_SPACES)), " "), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -62,17 +63,11 @@ def merge_groups(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> Dat
     return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("_h")).alias(sketch))
 
 
-def _shared(a: Column, b: Column, k: int) -> tuple[Column, Column]:
-    """Hashes of both among the k least of the union, and the union's size up to k."""
-    union = merged(a, b, k)
-    last = F.element_at(union, -1)
-    return F.size(F.filter(F.array_intersect(a, b), lambda h: h <= last)), F.size(union)
-
-
-def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated Jaccard likeness of two sketched texts, 0 to 1."""
-    shared, union = _shared(a, b, k)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / union)
+def resemblance(a: Column, b: Column, k: int = K, union: Column | None = None) -> Column:
+    """Estimated Jaccard likeness of two sketched texts, 0 to 1; union is merged(a, b), if it is at hand."""
+    union = merged(a, b, k) if union is None else union
+    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / F.size(union))
 
 
 def distinct_count(a: Column, k: int = K) -> Column:
@@ -82,9 +77,10 @@ def distinct_count(a: Column, k: int = K) -> Column:
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) / place)
 
 
-def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated share of a's shingles that are in b, 0 to 1."""
-    inside = resemblance(a, b, k) * distinct_count(merged(a, b, k), k)
+def containment(a: Column, b: Column, k: int = K, union: Column | None = None, likeness: Column | None = None) -> Column:
+    """Estimated share of a's shingles that are in b, 0 to 1; union and likeness (the resemblance) if they are at hand."""
+    union = merged(a, b, k) if union is None else union
+    inside = (resemblance(a, b, k, union) if likeness is None else likeness) * distinct_count(union, k)
     return F.when(F.size(a) == 0, 1.0).when(F.size(b) == 0, 0.0).otherwise(F.least(F.lit(1.0), inside / distinct_count(a, k)))
 
 
@@ -154,14 +150,17 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_chars, edited_sha256, both fingerprints, likeness to the edited text and to the next document."""
     rows = edited_texts(docs, id_col, text_col)
     a, e, n = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    # each union is worked out once
+    rows = rows.withColumns({"with_edited": merged(a, e), "with_next": merged(a, n)})
+    rows = rows.withColumn("near_edited", resemblance(a, e, union=F.col("with_edited")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(a).alias("fingerprint"),
         as_text(e).alias("edited_fingerprint"),
-        resemblance(a, e).alias("near_edited"),
-        resemblance(a, n).alias("near_next"),
+        "near_edited",
+        resemblance(a, n, union=F.col("with_next")).alias("near_next"),
         distinct_count(a).alias("n_shingles"),
-        containment(a, e).alias("kept_in_edited"),
+        containment(a, e, union=F.col("with_edited"), likeness=F.col("near_edited")).alias("kept_in_edited"),
     )
