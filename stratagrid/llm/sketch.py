@@ -11,7 +11,9 @@ Everything is DataFrame expressions. The words are the runs of characters other
 
 Defined results: a null text is an empty text; two empty sketches resemble each other fully (1),
 an empty and a non-empty one not at all (0), and an empty sketch is contained in any (1); ties
-and repeated rows are kept; extra columns are ignored; an empty table gives an empty result.
+(equal ids) follow each other by the hash of their texts, repeated rows are each reported; null
+ids come last; a text of any length is sketched whole; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import text_or_empty
+from stratagrid.llm.common import free_name, text_or_empty
 
 K = 128
 WORDS = 5
@@ -101,33 +103,57 @@ def _part_of(key: Column, bounds: list[int]) -> Column:
     """How many bounds are below key, by binary search in expressions."""
     if not bounds:
         return F.lit(0)
-    array, n, top = F.array(*[F.lit(b) for b in bounds]), len(bounds), len(bounds).bit_length()
+    array, n, top = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), len(bounds), len(bounds).bit_length()
     steps = F.array(*[F.lit(1 << (top - 1 - j)) for j in range(top)])
     ahead = lambda at, step: (at + step <= n) & (F.element_at(array, F.greatest(F.least(at + step, F.lit(n)), F.lit(1))) < key)
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(ahead(at, step), step).otherwise(0))
 
 
-def with_next(rows: DataFrame, key: str, carry: list[str], tie: str, parts: int | None = None) -> DataFrame:
-    """rows with next_<c> for c in carry: the value in the next row by descending key (ties by tie), the first row's after the last.
+def _ranges(rows: DataFrame, key: str, tie: str, parts: int) -> Column:
+    """Range of each row, ascending with its place by descending key and ascending tie.
 
-    Rows are dealt into ranges of the key. A range also gets a copy of the rows that follow its
-    last one, so each range is worked on alone; the ranges' ends (a few numbers a range) are all
-    that the driver sees. key must be a long without nulls.
+    A key that fills several ranges by itself has ranges of its own, by its ties (hashes).
+    """
+    cuts = [int(b) for b in rows.select(key).approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts)] if parts > 1 else []
+    often = {b: cuts.count(b) for b in set(cuts) if cuts.count(b) > 1}
+    bounds = sorted({b for c in cuts for b in ((c, max(c - 1, -(1 << 63))) if c in often else (c,))})
+    base = (F.lit(len(bounds)) - _part_of(F.col(key), bounds)).cast("long")
+    if not often:
+        return base
+    width = max(often.values()) + 1
+    share = F.lit(0)
+    for value, n in often.items():
+        share = F.when(F.col(key) == value, F.floor((F.shiftright(tie, 32) + (1 << 31)) * (n + 1) / float(1 << 32))).otherwise(share)
+    return base * width + share.cast("long")
+
+
+def with_next(rows: DataFrame, key: str, carry: list[str], tie: str, parts: int | None = None, size: Column | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+    """rows with next_<c> for c in carry: the value in the next row by descending key (ties by tie, a hash), the first row's after the last.
+
+    Rows are dealt into ranges of the key, of about range_bytes by size (bytes of a row). A range
+    also gets a copy of the row that follows its last one, so each range is worked on alone; the
+    ranges' first rows (two numbers a range) are all that the driver sees. key must be a long
+    without nulls. Rows that share key and tie are taken to be equal.
     """
     spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(b) for b in rows.select(key).approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    placed = rows.withColumn("_part", _part_of(F.col(key), bounds))
-    ends = placed.groupBy("_part").agg(F.max(key).alias("most")).orderBy(F.desc("_part")).collect()  # one row a range
-    # the first rows of each range, in descending order, follow the last of the range above it; the very first follow the very last
-    follow = [(e["most"], ends[(i - 1) % len(ends)]["_part"]) for i, e in enumerate(ends)]
-    ghosts = spark.createDataFrame(follow or [(0, 0)], "_most long, _above int")
-    both = placed.join(F.broadcast(ghosts), F.col(key) == F.col("_most"), "left").withColumn(
-        "_to", F.explode(F.when(F.col("_above").isNull(), F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g")))).otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g")), F.struct(F.col("_above").alias("p"), F.lit(1).alias("g")))))
-    )
-    order = Window.partitionBy("_p").orderBy("_g", F.desc(key), tie)
-    out = both.withColumns({"_p": F.col("_to.p"), "_g": F.col("_to.g")}).withColumns({f"next_{c}": F.lead(c).over(order) for c in carry})
-    return out.where("_g = 0").select(*rows.columns, *[f"next_{c}" for c in carry])
+    if parts is None:
+        total = rows.agg(F.coalesce(F.sum(size if size is not None else F.lit(64)), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // range_bytes))
+    taken = [free_name(rows, n) for n in ("_part", "_g", "_above", "_most", "_least", "_to")]
+    part, ghost, above, most, least, to = taken
+    placed = rows.withColumn(part, _ranges(rows, key, tie, parts))
+    # the first row of each range by descending key and ascending tie follows the last of the range before it; the very first the very last
+    first = F.max(F.struct(F.col(key).alias("k"), F.bitwise_not(F.col(tie)).alias("t"))).alias("m")
+    ends = placed.groupBy(part).agg(first).orderBy(part).collect()  # one row a range
+    follow = [(e["m"]["k"], ~e["m"]["t"], ends[i - 1][part]) for i, e in enumerate(ends)]
+    ghosts = F.broadcast(spark.createDataFrame(follow or [(0, 0, 0)], f"{most} long, {least} long, {above} long"))
+    both = placed.join(ghosts, (F.col(key) == F.col(most)) & (F.col(tie) == F.col(least)), "left")
+    own = F.struct(F.col(part).alias("p"), F.lit(0).alias("g"))
+    both = both.withColumn(to, F.explode(F.when(F.col(above).isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col(above).alias("p"), F.lit(1).alias("g"))))))
+    both = both.withColumns({part: F.col(f"{to}.p"), ghost: F.col(f"{to}.g")})
+    order = Window.partitionBy(part).orderBy(ghost, F.desc(key), tie)
+    out = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry})
+    return out.where(F.col(ghost) == 0).select(*rows.columns, *[f"next_{c}" for c in carry])
 
 
 def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
@@ -139,7 +165,7 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_or_empty(text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
-    rows = with_next(add_sketch(rows, F.col("text"), "sketch", k, words), "key", ["text", "sketch"], "tie")
+    rows = with_next(add_sketch(rows, F.col("text"), "sketch", k, words), "key", ["text", "sketch"], "tie", size=F.octet_length("text") + 8 * k)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))})

@@ -74,3 +74,17 @@ def test_null_ids_repeats_and_empty(spark):
     assert S.fingerprint_report(docs.limit(0)).collect() == []
     one = S.fingerprint_report(docs.limit(1)).first()
     assert one["near_next"] == 1.0
+
+
+def test_one_id_in_a_third_of_the_rows_is_many_ranges(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"t{rng.random()} a b c") for i in range(300)] + [(900, "w " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    out = S.with_next(docs, "key", ["text"], "tie", parts=12).collect()
+    order = sorted(out, key=lambda r: (-r["key"], r["tie"]))
+    assert len(out) == len(rows)
+    assert all(a["next_text"] == b["text"] for a, b in zip(order, order[1:] + order[:1], strict=True))
+    sizes = docs.groupBy(S._ranges(docs, "key", "tie", 12)).count().collect()
+    assert max(r["count"] for r in sizes) <= 80
+    long = S.fingerprint_report(docs.where("doc_id = 900")).first()
+    assert long["n_chars"] == 40_000 and long["n_shingles"] == 1 and long["near_next"] == 1.0
