@@ -10,9 +10,9 @@ skippable frame with the document ids. The seek table is that of the public zsta
 format: a skippable frame with, for each frame before it, compressed size, decompressed size
 and the low 32 bits of the XXH64 of its decompressed bytes, then a footer.
 
-Defined results: a null text is an empty text (only the end id); a null doc_id is kept, sorts
-before all others and is flagged in the index; repeated ids and repeated rows are kept, ties
-ordered by the text's hash; columns besides doc_id and text are ignored whatever their names;
+Defined results: a null text is an empty text (only the end id); a text of any length is one
+frame; a null doc_id is kept, sorts before all others and is flagged in the index; repeated ids
+and repeated rows are kept, ties ordered by the text's hash; columns besides doc_id and text are ignored whatever their names;
 an empty table gives no shards and an empty result.
 """
 
@@ -85,7 +85,8 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins characters across a single space or newline that
     stands between other characters, so pieces cut there have the ids they have in the text.
-    Texts with other white space are cut by the pre-tokenizer's own white-space rule instead.
+    Texts with other white space are cut by the pre-tokenizer's own white-space rule instead, and
+    texts that hold an added token (such as an end mark written out) are encoded whole.
     Letters after at most one space are one pre-token, so they go straight to the model. With any
     other kind of tokenizer whole texts are encoded.
     """
@@ -94,7 +95,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True
 
         def encode(s: str) -> bytes:
             return np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
@@ -103,7 +103,9 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
         tokenize, pre = tok.model.tokenize, tok.pre_tokenizer
-        self.by_piece = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and tok.normalizer is None and all(a.special for a in tok.get_added_tokens_decoder().values())
+        self.by_piece = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and tok.normalizer is None
+        added = [a.content for a in tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
         def word_ids(s: str) -> bytes:
             return np.array([t.id for t in tokenize(s.encode().decode("latin-1").translate(alphabet))], "<u4").tobytes()
@@ -118,7 +120,7 @@ class Encoder:
         """Little-endian 32-bit ids of a text."""
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or (self.added is not None and self.added.search(text)):
             return self.encode(text)
         try:
             lines = []
@@ -265,11 +267,12 @@ def write_token_shards(
     end_id: int = 0,
     order_by: list[str] | None = None,
     level: int = 1,
+    shard_bytes: int = 256 << 20,
 ) -> DataFrame:
     """Encode whole texts and write them as shards; returns the manifest (one row a shard).
 
-    Rows are range-partitioned and sorted by id (or by order_by), one shard for each partition,
-    so shards follow each other in that order. A file name holds the attempt that wrote it and
+    Rows are range-partitioned and sorted by id (or by order_by), one shard for each partition of
+    about shard_bytes of text at most, so shards follow each other in that order. A file name holds the attempt that wrote it and
     only the manifest, committed by Spark, says which files count: a lost or repeated task
     leaves at most a file that nothing refers to.
     """
@@ -282,7 +285,10 @@ def write_token_shards(
         .withColumn("tie", F.xxhash64("text"))
     )
     keys = [F.col(f"k{i}").asc_nulls_first() for i in range(len(keys))] + [F.col("tie")]
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    shards = -(-int(size) // shard_bytes)
+    ranged = rows.repartitionByRange(shards, *keys) if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*keys)
+    rows = ranged.sortWithinPartitions(*keys).select("doc_id", "text")
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,7 +67,6 @@ def test_mix_and_token_files_follow_the_schedule(spark, steps):
     got = sorted(steps[5].collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted(order, key=order.get)
     tok = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZER))
-    tok.encode_special_tokens = True
     text, at = {r["doc_id"]: r["text"] for r in steps[3].collect()}, 0
     for r in got:
         ids = np.array([*tok.encode(text[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")

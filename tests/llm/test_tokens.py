@@ -13,13 +13,12 @@ from stratagrid.llm import tokens
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     "", "a", "One two  three\n\nfour\tfive \n", "\x1c odd \x85 spaces\xa0here ", "don't (can't) 12.5% it's'", "été – naïve, Straße!!!\nnext line",
-    "日本語 テキスト, mixed", "<|endoftext|> stays text", "   leading", "trailing   ", "a\r\nb", "***$$$ x&&&, y", "word, word. word; word's", "\n\n\n", "x" * 5000, "-a -- 'b' ''c",
+    "日本語 テキスト, mixed", "<|endoftext|> stays text", "x<|endoftext|>y", "so  <|endoftext|>\n<|endoftext|>", "é" * 400_000, "   leading", "trailing   ", "a\r\nb", "***$$$ x&&&, y", "word, word. word; word's", "\n\n\n", "x" * 5000, "-a -- 'b' ''c",
 ]
 
 
 def plain(text: str) -> np.ndarray:
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -32,11 +31,15 @@ def test_pieces_have_the_ids_of_the_whole_text():
 def test_other_kinds_of_tokenizer_encode_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     e, t = tokens.Encoder(path), Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     for text in TEXTS:
         assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_are_those_of_the_plain_call():
+    ids = np.frombuffer(tokens.Encoder(PATH).ids("x<|endoftext|>y"), "<u4").tolist()
+    assert ids == Tokenizer.from_file(PATH).encode("x<|endoftext|>y", add_special_tokens=False).ids and 50256 in ids
+
+
 def test_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
     e = tokens.Encoder(PATH)
@@ -65,7 +68,7 @@ def test_seek_table_reads_single_frames_and_checks_them():
 
 
 def test_files_round_trip_with_nulls_ties_and_extra_columns(spark):
-    rows = [(i * 7 % 16, t, "x") for i, t in enumerate(TEXTS)] + [(5, None, "y"), (5, TEXTS[2], "z"), (None, "lost id", "z")]
+    rows = [(i * 7 % 19, t, "x") for i, t in enumerate(TEXTS)] + [(5, None, "y"), (5, TEXTS[2], "z"), (None, "lost id", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
     out = tokens.scratch(spark, "t")
     manifest = tokens.write_token_shards(docs, out, PATH)
@@ -79,6 +82,8 @@ def test_files_round_trip_with_nulls_ties_and_extra_columns(spark):
     assert {(d, n, c) for d, _, n, c in got} == want
     one = tokens.read_documents(manifest, [0, 4])
     assert one[0][0].tolist() == plain(TEXTS[0]).tolist() and len(one[4]) == 1
+    many = tokens.write_token_shards(docs, tokens.scratch(spark, "t"), PATH, shard_bytes=50_000)
+    assert many.count() > 4 and sorted(tuple(r)[2:] for r in tokens.read_token_shards(many).collect()) == sorted(r[2:] for r in got)
 
 
 def test_empty_table(spark):
