@@ -7,8 +7,8 @@ languages of neighbouring words are learned with them. Forward-backward gives ea
 posterior, so a text that switches language is labelled piece by piece; the document's language
 is the one with the greatest mean posterior.
 
-The model is fitted on a bounded sample of labelled rows (docs_per_lang texts a language, at
-most chars_per_doc characters of each, chosen by hash). Half of the sampled texts make the
+The model is fitted on a bounded sample of labelled rows (docs_per_lang whole texts a language,
+fewer if there are over max_rows / docs_per_lang languages, chosen by hash). Half of the sampled texts make the
 lexicon, the other half the weights. Part of the training sequences are spliced from several
 languages, so that transitions between languages are seen.
 
@@ -16,7 +16,8 @@ Prediction runs over whole texts. Forward-backward is done exactly in segments:
 transfer matrices for all segments of a batch at once, then a scan over each document's
 segments, then each segment from its true start and end.
 
-Defined results: a null text, or one without letters, is `und` with score 0; ties go to the
+Defined results: a null text, or one without letters, is `und` with score 0; a text of any length
+is read whole; ties go to the
 first language in alphabetical order; repeated ids and rows are each predicted; extra columns
 are ignored; with no labelled rows every text is `und`; an empty table gives an empty result.
 """
@@ -24,6 +25,8 @@ are ignored; with no labelled rows every text is `und`; an empty table gives an
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 
 from stratagrid.llm.common import small_batches
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters but for '_' and all numbers (decimal digits, letter-like and other ones).
+WORD = re.compile(f"[^\\W\\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ('Nl', 'No'))}]+")
 UND = "und"
 #: Hashed n-gram and affix weights.
 BITS = 15
@@ -279,15 +283,16 @@ def fit(texts: list[tuple[str, str]], steps: int = 60, rate: float = 0.15, l2: f
     np.add.at(seen_pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
     rows = SIZE + n + 1
     w, t, start = np.zeros((rows, n)), np.zeros((n, n)), np.zeros(n)
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, t)]
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, t, start)]
     scale = 1 / ids.size
     for step in range(1, steps + 1):
         marg, pairs = _expected(feats.scores(w)[ids], t, start)
         diff = (marg - hot).reshape(-1, n)
         flat = ids.ravel()
         by_word = np.stack([np.bincount(flat, diff[:, k], len(vocab)) for k in range(n)], axis=1)
-        grads = (feats.gradient(by_word, rows) * scale + l2 * w, (pairs - seen_pairs) * scale + l2 * t)
-        for x, g, m in zip((w, t), grads, moments, strict=True):
+        first = (marg[:, 0] - hot[:, 0]).sum(axis=0)
+        grads = (feats.gradient(by_word, rows) * scale + l2 * w, (pairs - seen_pairs) * scale + l2 * t, first * scale + l2 * start)
+        for x, g, m in zip((w, t, start), grads, moments, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             x -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
@@ -354,20 +359,27 @@ def held_out(doc_id: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def training_sample(docs: DataFrame, *, docs_per_lang: int = 250, chars_per_doc: int = 3000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """At most docs_per_lang texts of each language, chosen by hash, each cut to a window of chars_per_doc.
+def training_sample(docs: DataFrame, *, docs_per_lang: int = 250, max_rows: int = 10_000, max_langs: int = 1000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
+    """At most docs_per_lang whole texts of each language, and max_rows in all, chosen by hash.
 
-    Null texts and languages and held-out rows are left out; repeated rows count once.
+    Null texts and languages and held-out rows are left out; repeated rows count once. The model
+    has a weight row a language, so more than max_langs languages are refused.
     """
     rows = docs.select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), held_out(id_col).alias("out")
     ).where("lang is not null and text is not null and not out")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"over {max_langs} languages: state a coarser column")
+    if not sizes:
+        return []
+    each = max(1, min(docs_per_lang, max_rows // len(sizes)))
+    # hashes are uniform: below this one lie about eight times the rows wanted of a language, whatever its size
+    cut = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, 8 * each / max(1, r["n"])) * (1 << 32)))])
+    low = rows.where(F.shiftrightunsigned("h", 32) < F.element_at(cut, F.col("lang")))
     ranked = Window.partitionBy("lang").orderBy("h")
-    # at most docs_per_lang keys a language leave this; Spark limits the ranks before the shuffle too
-    picked = rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= docs_per_lang).select("lang", "h")
-    spare = F.greatest(F.lit(1), F.length("text") - chars_per_doc)
-    window = F.substring(F.col("text"), (F.pmod(F.col("h"), spare) + 1).cast("int"), F.lit(chars_per_doc))
-    found = rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", window.alias("text")).dropDuplicates(["lang", "h"])
+    picked = low.select("lang", "h").distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= each).select("lang", "h")
+    found = low.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", "text").dropDuplicates(["lang", "h"])
     return [(r["text"], r["lang"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"]))]
 
 
@@ -423,6 +435,6 @@ def language_spans(docs: DataFrame, model: Crf, *, text_col: str = "text", id_co
     return rows.mapInArrow(spans, SPANS)
 
 
-def identify_languages(docs: DataFrame, *, docs_per_lang: int = 250, chars_per_doc: int = 3000) -> DataFrame:
+def identify_languages(docs: DataFrame, *, docs_per_lang: int = 250, max_rows: int = 10_000) -> DataFrame:
     """Fit on the rows that are not held out and predict every row."""
-    return predict_languages(docs, fit(training_sample(docs, docs_per_lang=docs_per_lang, chars_per_doc=chars_per_doc)))
+    return predict_languages(docs, fit(training_sample(docs, docs_per_lang=docs_per_lang, max_rows=max_rows)))

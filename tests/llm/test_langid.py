@@ -71,7 +71,10 @@ def test_held_out_accuracy_and_sample(spark):
     sample = L.training_sample(docs, docs_per_lang=5)
     assert len(sample) <= 20
     kept = {r["text"] for d, r in rows.items() if zlib.crc32(str(d).encode()) % 4 != 2}
-    assert all(any(t in k for k in kept) for t, _ in sample)
+    assert all(t in kept for t, _ in sample)
+    assert len(L.training_sample(docs, docs_per_lang=50, max_rows=8)) <= 8
+    with pytest.raises(ValueError, match="languages"):
+        L.training_sample(docs, max_langs=1)
     got = L.identify_languages(docs.withColumnRenamed("n_chars", "score")).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     out = [r for r in got if r["held_out"]]
@@ -79,6 +82,23 @@ def test_held_out_accuracy_and_sample(spark):
     assert sum(r["lang_pred"] == rows[r["doc_id"]]["lang"] for r in out) >= 0.95 * len(out)
 
 
+def test_only_letters_are_words():
+    assert L.WORD.findall("½ ² ① Ⅷ 12 _ ٣") == [] and L.WORD.findall("a½b 一二 é1 x_y") == ["a", "b", "一二", "é", "x", "y"]
+
+
+def test_document_scores_against_brute_force(spark):
+    model = tiny()
+    texts = ["the hund and cat", "½ ² ①", "der the", "a"]
+    got = {r["doc_id"]: r for r in L.predict_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        words = L.WORD.findall(t)
+        if not words:
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0)
+            continue
+        mean = brute(model.word_scores(words).astype(float), model.transitions, model.start).mean(axis=0)
+        assert got[k]["lang_pred"] == model.langs[int(mean.argmax())] and got[k]["score"] == pytest.approx(mean.max(), abs=1e-5)
+
+
 def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "42!", None), (None, EN, None), (2, DE, "x")], "doc_id long, text string, lang string")
     got = sorted((tuple(r)[:4] for r in L.predict_languages(docs, tiny()).collect()), key=str)
