@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    A local temporary folder stands in only where the setting is missing, as in tests.
+    A local temporary folder stands in only where the setting is missing and Spark runs in one
+    process, as in tests; on a cluster the setting is needed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stratagrid-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -50,5 +53,48 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def joined_by_key(rows: DataFrame, side: DataFrame, key: str, n: str, hot: int = 1000) -> DataFrame:
+    """rows joined with side, which has one row for every key and in n the number of rows that have it.
+
+    Keys with more than one in `hot` of all rows are fewer than `hot`, so their sides are sent to
+    every task and their rows stay where they are; the others are joined by a shuffle.
+    """
+    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often, rare = side.where(F.col(n) * hot > total).drop(n), side.where(F.col(n) * hot <= total).drop(n)
+    return rows.join(F.broadcast(often), key).unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare, key))
+
+
+def placed(hits: Column, gaps: Column) -> Column:
+    """Matches with their places: (start, end, value) of each of hits; gaps has what lies before each and after the last.
+
+    Places are sums over all that came before. They are taken within blocks of about the root of
+    the number of matches, then over the blocks, so many matches cost little more each than few.
+    """
+    pieces = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("l"), F.length(g).alias("g")))
+    kind = "array<struct<start:int,end:int,value:string>>"
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["g"]
+        end = start + x["l"]
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+
+    def blocks(p: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(p))).cast("int")
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / width).cast("int")), lambda b: F.aggregate(F.slice(p, b * width + 1, width), begin, step))
+
+    def laid(bs: Column) -> Column:
+        ends = F.aggregate(bs, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+        shifted = lambda bs, ends: F.flatten(F.transform(bs, lambda b, i: F.transform(b["out"], lambda s: F.struct((s["start"] + F.get(ends, i)).alias("start"), (s["end"] + F.get(ends, i)).alias("end"), s["value"].alias("value")))))
+        return _bound(ends, lambda e: shifted(bs, e))
+
+    return F.when(F.size(hits) > 0, _bound(pieces, lambda p: _bound(blocks(p), laid))).otherwise(F.array().cast(kind))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import small_batches, text_or_empty, written
+from stratagrid.llm.common import joined_by_key, small_batches, text_or_empty, written
 from stratagrid.llm.simhash import _LOWER, bits_over_half, components, near_links, one_of_each
 
 PRINTS = "doc_id long, text_hash long, node long, n long, fp long, bands array<long>"
@@ -166,5 +166,6 @@ def drop_near_copies(
     """
     found = written(prints(docs, id_col, text_col, words, bands, rows, seed), "nearcopy-prints")
     groups = similar_groups(docs, text_col, found, words=words, similarity=similarity, whole=whole, seed=seed)
-    of = found.select("doc_id", "text_hash", "node").join(groups, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("c"))
+    classes = found.groupBy("node").agg(F.count("*").alias("n")).join(groups, "node", "left").select("node", "n", F.coalesce("root", "node").alias("c"))
+    of = joined_by_key(found.select("doc_id", "text_hash", "node"), written(classes, "nearcopy-classes"), "node", "n")
     return one_of_each(docs, of, ["c"], id_col, text_col)

@@ -12,8 +12,8 @@ both segments would find is taken from the first: a link is one row, and only li
 passed the complete distance leave the join.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero and is
-linked like any other; a text of one or two words is one shingle; repeated ids and rows are
-kept; a null doc_id is kept and never names a component if another id is there; columns besides
+linked like any other; a text of one or two words is one shingle, one of any length is hashed
+whole; repeated ids and rows are kept; ties (equal fingerprints) share a component; a null doc_id is kept and never names a component if another id is there; columns besides
 doc_id and text are ignored; an empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import small_batches, text_or_empty, written
+from stratagrid.llm.common import free_name, joined_by_key, small_batches, text_or_empty, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -129,19 +129,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """fp, component_id of every distinct fingerprint; prints has doc_id and fp."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    """fp, component_id, n (rows) of every distinct fingerprint; prints has doc_id and fp."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(near_links(nodes, radius), "simhash-links")
     linked = roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
-    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, id_col, text_col, words, seed), "simhash-prints")
-    return prints.join(classes(prints, radius), "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return joined_by_key(prints, classes(prints, radius), "fp", "n").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
@@ -150,20 +150,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Columns are those of docs. Rows that repeat the kept id and text are dropped too.
     """
     prints = written(fingerprints(docs, id_col, text_col, words, seed), "simhash-prints")
-    of = prints.join(classes(prints, radius), "fp")
+    of = joined_by_key(prints, classes(prints, radius), "fp", "n")
     return one_of_each(docs, of, [F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("n")], id_col, text_col)
 
 
 def one_of_each(docs: DataFrame, of: DataFrame, keys: list, id_col: str, text_col: str) -> DataFrame:
     """The documents with one of each group (doc_id and text_hash in of, grouped by keys) kept."""
-    kept = of.groupBy(*keys).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
-    repeated = of.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    kept_id, kept_hash, own_id, own_hash = (free_name(docs, n) for n in ("_kept_id", "_kept_hash", "_own_id", "_own_hash"))
+    kept = of.groupBy(*keys).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.text_hash").alias(kept_hash))
+    repeated = of.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
     kept, repeated = written(kept, "simhash-kept"), written(repeated, "simhash-repeated")
-    mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_kept_hash"))
+    own = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(text_or_empty(text_col))]
+    mine = own[0].eqNullSafe(F.col(kept_id)) & (own[1] == F.col(kept_hash))
     out = docs.join(kept, mine, "left_semi")
     if repeated.isEmpty():
         return out
     again = out.join(repeated, mine, "left_semi")
-    own = [F.col(f"`{id_col}`").cast("long").alias("_i"), F.xxhash64(text_or_empty(text_col)).alias("_h")]
-    one = again.withColumns({"_i": own[0], "_h": own[1]}).dropDuplicates(["_i", "_h"]).drop("_i", "_h")
+    one = again.withColumns({own_id: own[0], own_hash: own[1]}).dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
     return out.join(repeated, mine, "left_anti").unionByName(one)

@@ -87,7 +87,8 @@ def want_components(rows):
 
 def test_documents_against_brute_force(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, fp int, component_id int")
+    rows += [(70 + i, "one hot text " * 30_000 if i < 2 else "hot copies of this text") for i in range(40)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, fp int, component_id int, _kept_id int, _own_hash int")
     assert sorted(map(tuple, S.near_duplicates(docs).collect())) == want_components(rows)
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
