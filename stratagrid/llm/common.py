@@ -53,7 +53,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def joined_by_key(rows: DataFrame, side: DataFrame, key: str, n: str, hot: int = 1000) -> DataFrame:
+def joined_by_key(rows: DataFrame, side: DataFrame, key: str | list[str], n: str, hot: int = 1000) -> DataFrame:
     """rows joined with side, which has one row for every key and in n the number of rows that have it.
 
     Keys with more than one in `hot` of all rows are fewer than `hot`, so their sides are sent to
@@ -61,7 +61,7 @@ def joined_by_key(rows: DataFrame, side: DataFrame, key: str, n: str, hot: int =
     """
     total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     often, rare = side.where(F.col(n) * hot > total).drop(n), side.where(F.col(n) * hot <= total).drop(n)
-    return rows.join(F.broadcast(often), key).unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare, key))
+    return rows.join(F.broadcast(often), key).unionByName(rows.join(F.broadcast(often.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rare, key))
 
 
 def placed(hits: Column, gaps: Column) -> Column:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import text_or_empty
+from stratagrid.llm.common import placed, text_or_empty
 
 # Sentences of public licences and notices, as normalised, by identifier.
 SENTENCES = {
@@ -116,15 +116,9 @@ MATCH = "array<struct<licence:string,rule:string,first:int,n:int>>"
 
 def _places(sequence: Column, pattern: str, licence: str, rule: str) -> Column:
     """Matches of one rule, placed by the lengths of what lies between them."""
-    hits, gaps = F.regexp_extract_all(sequence, F.lit(f"({pattern})"), F.lit(1)), F.split(sequence, pattern, -1)
-    sizes = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(h).alias("h"), F.length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        one = F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), (a["at"] + x["g"]).alias("first"), x["h"].alias("n"))
-        return F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
-
-    return F.when(sequence.rlike(pattern), F.aggregate(sizes, start, step, lambda a: a["out"])).otherwise(F.array().cast(MATCH))
+    found = placed(F.regexp_extract_all(sequence, F.lit(f"({pattern})"), F.lit(1)), F.split(sequence, pattern, -1))
+    match = F.transform(found, lambda m: F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), m["start"].alias("first"), (m["end"] - m["start"]).alias("n")))
+    return F.when(sequence.rlike(pattern), match).otherwise(F.array().cast(MATCH))
 
 
 def rule_matches(sequence: Column, max_gap: int = MAX_GAP) -> Column:

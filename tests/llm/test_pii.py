@@ -123,3 +123,44 @@ def test_values_met_once_or_twice_are_judged(spark):
     # shares log2((2000 + 1) / 2) / log2(2000), log2((4000 + 2) / (2 * 3)) / log2(1000); Lisbon and some: log2((2000 + 20) / 40) / log2(2000) = 0.52
     assert terms == {7: [("Quillfeather", "remove")], 8: [("Ombersley", "remove")], 10: []}
     assert got[7]["sanitised"] == "the paper of  [EMAIL] today"
+
+
+def test_groups_of_values_that_stand_once_are_judged(spark):
+    rows = [(i, f"the paper of today {i}") for i in range(400)]
+    for i in range(20):
+        rows[i] = (i, f"the paper of Brackwater n{i}@harbour.org today")
+    for i in range(40, 52):
+        rows[i] = (i, f"the paper XENO of today 10.9.{i}.7 of +1 415 55{i} 0100")
+    got = {r["doc_id"]: r for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = lambda d: {(rows[d][1][s["start"] : s["end"]], s["action"]) for s in got[d]["spans"] if s["kind"] == "term"}
+    # each address stands once; its domain, network or prefix stands with the word in all its documents
+    assert words(3) == {("Brackwater", "remove")} and words(45) == {("XENO", "remove")} and words(100) == set()
+    one = P.sanitised(F.lit("Jo ABC word"), F.expr("array(" + ",".join(f"named_struct('kind','term','start',{a},'end',{b},'action','generalise')" for a, b in ((0, 2), (3, 6), (7, 11))) + ")"))
+    assert spark.range(1).select(one).first()[0] == "[NAME] [CODE] [WORD]"
+
+
+def test_places_in_a_line_of_many_words_and_values(spark):
+    line = " ".join(f"word{chr(97 + i % 26)} {'x@y.zz' if i % 40 == 0 else ''}" for i in range(16_000))
+    docs = spark.createDataFrame([(1, "first line\n" + line + "\nlast"), (2, "other")], "doc_id long, text string")
+    found = P.find_personal_data(docs).where("doc_id = 1").first()
+    text = "first line\n" + line + "\nlast"
+    emails = [(m.start(), m.end()) for m in re.finditer("x@y.zz", text)]
+    assert [(s["start"], s["end"]) for s in found["spans"] if s["kind"] == "email"] == emails and len(emails) == 400
+    terms = P._near(docs.select(F.col("doc_id").alias("row"), "text"), reach=3).where("row = 1").select("start", "end").distinct().collect()
+    words = [(m.start(), m.end()) for m in re.finditer("word[a-z]?", text)]
+    want = set()
+    for a, _ in emails:
+        k = sum(1 for w in words if w[0] < a)
+        want |= set(words[max(0, k - 3) : k + 3])
+    assert {tuple(t) for t in terms} == want
+
+
+def test_query_finds_terms_on_the_fixture(spark):
+    from stratagrid.llm import queries
+
+    got = queries.op10_personal_data(spark, "/root/testdata/sf0.001")
+    assert got.agg(F.sum("n_terms")).first()[0] > 0
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in got.collect():
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in base(docs[r["doc_id"]]))
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
