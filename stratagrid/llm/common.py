@@ -86,15 +86,23 @@ def placed(hits: Column, gaps: Column) -> Column:
     def laid(bs: Column) -> Column:
         ends = F.aggregate(bs, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
         shifted = lambda bs, ends: F.flatten(F.transform(bs, lambda b, i: F.transform(b["out"], lambda s: F.struct((s["start"] + F.get(ends, i)).alias("start"), (s["end"] + F.get(ends, i)).alias("end"), s["value"].alias("value")))))
-        return _bound(ends, lambda e: shifted(bs, e))
+        return bound(ends, lambda e: shifted(bs, e))
 
-    return F.when(F.size(hits) > 0, _bound(pieces, lambda p: _bound(blocks(p), laid))).otherwise(F.array().cast(kind))
+    return F.when(F.size(hits) > 0, bound(pieces, lambda p: bound(blocks(p), laid))).otherwise(F.array().cast(kind))
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """use(value), with the value worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def upto(items: Column, place: Column) -> Column:
+    """How many of items (by ascending start) begin before a place, by binary search."""
+    n = F.size(items)
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda j: F.call_function("shiftleft", F.lit(1), j))
+    ahead = lambda at, step: (at + step <= n) & (F.get(items, at + step - 1)["start"] < place)
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(ahead(at, step), step).otherwise(0))
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))

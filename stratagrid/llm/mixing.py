@@ -12,12 +12,13 @@ that their shares give among themselves. No row is dropped or repeated.
 
 Ranks within a source come from counts by hash range and a rank within each range. Unless
 rows_per_range is stated a range holds about as many rows as the largest source has ranges (the
-root of its rows), so a source that holds a third of all rows is many ranges at every size. The driver sees one count a source (at most
-max_sources) and one period a phase (at most max_period slots).
+root of its rows), so a source that holds a third of all rows is many ranges at every size. The
+driver sees one count a source. All phases are worked out in one expression, of
+sources x slots of a period steps a phase, so more than max_sources sources are refused.
 
-Defined results: a null source is the source ''; a null id or text takes part; equal rows take
-neighbouring places; sources without a stated share have default_share; extra columns are kept;
-an empty table gives an empty result.
+Defined results: a null source is the source ''; a null id or text takes part; rows of equal id
+and text are ties and take neighbouring places; texts may be of any length; sources without a
+stated share have default_share; extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,48 +28,65 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import free_name, text_or_empty
+from stratagrid.llm.common import bound, free_name, text_or_empty, upto, written
 
-PHASES = "source string, phase int, first long, last long, q int, period int, start long"
-SLOTS = "source string, phase int, j int, slot int"
+PHASE = "array<struct<owner:array<int>,done:array<bigint>,at:bigint,total:int>>"
 
 
-def period_slots(spark: SparkSession, shares: list[int]) -> list[int]:
+def _period(q: Column, total: Column) -> Column:
     """Which source (by position) has each slot of a period: earliest deadline first among the released."""
-    total = sum(shares)
-    q = F.array(*[F.lit(s) for s in shares])
     start = F.struct(F.transform(q, lambda _: F.lit(0)).alias("k"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, t: Column) -> Column:
-        # (deadline, source) of the next block of each source, if it is released
-        due = F.transform(q, lambda s, i: F.when(F.floor(F.get(a["k"], i) * total / s) <= t, F.ceil((F.get(a["k"], i) + 1) * total / s)).otherwise(F.lit((1 << 62))))
-        best = F.array_min(F.transform(due, lambda d, i: F.struct(d.alias("d"), i.alias("i"))))["i"]
-        return F.struct(F.transform(a["k"], lambda k, i: k + F.when(i == best, 1).otherwise(0)).alias("k"), F.concat(a["out"], F.array(best)).alias("out"))
-
-    return spark.range(1).select(F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, step, lambda a: a["out"])).first()[0]
-
-
-def phases(spark: SparkSession, blocks: dict[str, int], shares: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
-    """Rows of PHASES and SLOTS for sources with so many blocks."""
-    done = dict.fromkeys(blocks, 0)
-    at, out, slots = 0, [], []
-    while live := sorted(s for s in blocks if done[s] < blocks[s]):
-        q = [shares[s] for s in live]
-        total, owner = sum(q), period_slots(spark, q)
-        places: dict[str, list[int]] = {s: [] for s in live}
-        for slot, i in enumerate(owner):
-            places[live[i]].append(slot)
-        # the phase ends with the last block of the source that is first out of blocks
-        length = min((m - 1) // len(places[s]) * total + places[s][(m - 1) % len(places[s])] + 1 for s in live for m in [blocks[s] - done[s]])
-        full, rest = divmod(length, total)
-        phase = len({r[1] for r in out})
-        for s in live:
-            n = full * len(places[s]) + sum(p < rest for p in places[s])
-            out.append((s, phase, done[s], done[s] + n, len(places[s]), total, at))
-            slots += [(s, phase, j, p) for j, p in enumerate(places[s])]
-            done[s] += n
-        at += length
-    return out, slots
+        # deadline of the next block of each source that is released; of equal ones the first source's counts
+        due = F.zip_with(q, a["k"], lambda s, k: F.when((s > 0) & (k * total < (t + 1) * s), F.ceil((k + 1) * total / s)).otherwise(F.lit(1 << 62)))
+        return bound(F.array_position(due, F.array_min(due)).cast("int") - 1, lambda i: F.struct(F.transform(a["k"], lambda k, j: k + F.when(j == i, 1).otherwise(0)).alias("k"), F.concat(a["out"], F.array(i)).alias("out")))
+
+    return F.aggregate(F.sequence(F.lit(0), total - 1), start, step, lambda a: a["out"])
+
+
+def period_slots(spark: SparkSession, shares: list[int]) -> list[int]:
+    """The owners (by position) of the slots of one period."""
+    return spark.range(1).select(_period(F.array(*[F.lit(s) for s in shares]), F.lit(sum(shares)))).first()[0]
+
+
+def schedule(spark: SparkSession, blocks: dict[str, int], shares: dict[str, int]) -> DataFrame:
+    """(source, steps) for sources with so many blocks: for each phase the source's first block, the phase's
+    first slot and period, and the source's places in a period."""
+    names = sorted(blocks)
+    m, q = F.array(*[F.lit(blocks[s]).cast("long") for s in names]), F.array(*[F.lit(shares[s]) for s in names])
+
+    def phase(a: Column, _: Column) -> Column:
+        live = F.transform(q, lambda s, i: F.when(F.get(a["done"], i) < F.get(m, i), s).otherwise(0))
+        return bound(live, lambda v: bound(F.aggregate(v, F.lit(0), lambda x, y: x + y), lambda total: F.when(total == 0, a).otherwise(go_on(a, v, total))))
+
+    def go_on(a: Column, live: Column, total: Column) -> Column:
+        def places(owner: Column, i: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), total - 1), lambda t: F.get(owner, t) == i)
+
+        def end(owner: Column) -> Column:
+            # the phase ends with the last block of the source that is first out of blocks
+            def last(s: Column, i: Column) -> Column:
+                left = F.get(m, i) - F.get(a["done"], i) - 1
+                return F.when(s > 0, F.floor(left / s) * total + F.get(places(owner, i), (left % s).cast("int")) + 1)
+
+            return F.array_min(F.array_compact(F.transform(live, last)))
+
+        def closed(owner: Column, length: Column) -> Column:
+            full, rest = F.floor(length / total), (length % total).cast("int")
+            done = F.transform(live, lambda s, i: F.get(a["done"], i) + full * s + F.size(F.filter(F.slice(owner, F.lit(1), rest), lambda o: o == i)))
+            one = F.struct(owner.alias("owner"), a["done"].alias("done"), a["at"].alias("at"), total.alias("total"))
+            return F.struct(done.alias("done"), (a["at"] + length).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+
+        return bound(_period(live, total), lambda owner: bound(end(owner), lambda length: closed(owner, length)))
+
+    start = F.struct(F.transform(m, lambda _: F.lit(0).cast("long")).alias("done"), F.lit(0).cast("long").alias("at"), F.array().cast(PHASE).alias("out"))
+    plan = F.aggregate(F.sequence(F.lit(1), F.lit(len(names))), start, phase, lambda a: a["out"])
+    phases = written(spark.range(1).select(F.explode(plan).alias("p")), "mix-phases")
+    own = phases.select("p", F.posexplode(F.array(*[F.lit(s) for s in names])).alias("i", "source"))
+    own = own.withColumn("places", F.filter(F.sequence(F.lit(0), F.col("p.total") - 1), lambda t: F.get(F.col("p.owner"), t) == F.col("i"))).where(F.size("places") > 0)
+    step = F.struct(F.get(F.col("p.done"), F.col("i")).alias("start"), F.col("p.at").alias("at"), F.col("p.total").alias("total"), "places")
+    return written(own.groupBy("source").agg(F.array_sort(F.collect_list(step)).alias("steps")), "mix-plan")
 
 
 def mix_sources(
@@ -80,7 +98,7 @@ def mix_sources(
     seed: int = 17,
     rows_per_range: int | None = None,
     max_sources: int = 1000,
-    max_period: int = 10_000,
+    broadcast_slots: int = 2_000_000,
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str | None = "text",
@@ -89,36 +107,34 @@ def mix_sources(
     spark = docs.sparkSession
     if min([default_share, block_rows, *shares.values()]) < 1:
         raise ValueError("shares and block size are positive integers")
-    src, h, tie, bucket, rank = (free_name(docs, n) for n in ("_src", "_h", "_tie", "_range", "_rank"))
-    rows = docs.withColumns({src: F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")), h: F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"))})
-    rows = rows.withColumn(tie, F.xxhash64(text_or_empty(text_col)) if text_col in docs.columns else F.lit(0))
-    counts = {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("s")).count().limit(max_sources + 1).collect()}
+    src, h, part, rank, n, before, of, at, steps, now = (free_name(docs, c) for c in ("_src", "_h", "_range", "_rank", "_n", "_before", "_of", "_at", "_steps", "_now"))
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    keys = [F.col(f"`{id_col}`")] + ([text_or_empty(text_col)] if text_col in docs.columns else [])
+    rows = docs.withColumns({src: source, h: F.xxhash64(F.lit(seed), *keys)})
+    counts = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().limit(max_sources + 1).collect()}
     if len(counts) > max_sources:
         raise ValueError(f"over {max_sources} sources: state a coarser source column")
-    own = {s: shares.get(s, default_share) for s in counts}
-    if sum(own.values()) > max_period:
-        raise ValueError(f"the shares add up to over {max_period}: state coarser ones")
     if not counts:
         return docs.withColumns({"mix_slot": F.lit(0).cast("long"), "mix_order": F.lit(0).cast("long")})
     most = max(counts.values())
     bits = max(0, min(32, (most // (rows_per_range or math.isqrt(most))).bit_length()))
-    rows = rows.withColumn(bucket, F.shiftright(F.col(h), 64 - bits) if bits else F.lit(0).cast("long"))
-    sizes = rows.groupBy(src, bucket).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(src).alias("_os"), F.col(bucket).alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(src, bucket).orderBy(h, tie)))
-    rows = rows.join(offsets, (F.col(src) == F.col("_os")) & (F.col(bucket) == F.col("_ob"))).withColumn(rank, F.col("_before") + F.col(rank) - 1)
-    rows = rows.withColumn("_block", F.floor(F.col(rank) / block_rows).cast("long"))
-    plan, slots = phases(spark, {s: -(-n // block_rows) for s, n in counts.items()}, own)
-    # both tables are bounded by max_sources and max_period
-    plan_df = spark.createDataFrame(plan, PHASES).toDF("_ps", "_pp", "_first", "_last", "_q", "_period", "_start")
-    slot_df = spark.createDataFrame(slots, SLOTS).toDF("_ss", "_sp", "_j", "_slot")
-    k = F.col("_block") - F.col("_first")
-    placed = rows.join(F.broadcast(plan_df), (F.col(src) == F.col("_ps")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_last")))
-    placed = placed.join(F.broadcast(slot_df), (F.col(src) == F.col("_ss")) & (F.col("_pp") == F.col("_sp")) & ((k % F.col("_q")).cast("int") == F.col("_j")))
-    slot = (F.col("_start") + F.floor(k / F.col("_q")) * F.col("_period") + F.col("_slot")).cast("long")
+    rows = rows.withColumn(part, F.shiftright(F.col(h), 64 - bits) if bits else F.lit(0).cast("long"))
+    sizes = rows.groupBy(src, part).agg(F.count("*").alias(n))
+    above = Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(src).alias(of), F.col(part).alias(at), F.coalesce(F.sum(n).over(above), F.lit(0)).alias(before))
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(src, part).orderBy(h)))
+    rows = rows.join(offsets, (F.col(src) == F.col(of)) & (F.col(part) == F.col(at))).withColumn(rank, F.col(before) + F.col(rank) - 1)
+    own = {s: shares.get(s, default_share) for s in counts}
+    plan = schedule(spark, {s: -(-c // block_rows) for s, c in counts.items()}, own)
+    held = plan.agg(F.sum(F.aggregate("steps", F.lit(0), lambda a, x: a + 8 + F.size(x["places"])))).first()[0]
+    plan = plan.select(F.col("source").alias(of), F.col("steps").alias(steps))
+    rows = rows.drop(of).join(F.broadcast(plan) if held <= broadcast_slots else plan, F.col(src) == F.col(of))
+    block = F.floor(F.col(rank) / block_rows).cast("long")
+    rows = rows.withColumn(now, F.get(F.col(steps), upto(F.col(steps), block + 1) - 1))
+    k, width = block - F.col(f"{now}.start"), F.size(f"{now}.places")
+    slot = (F.col(f"{now}.at") + F.floor(k / width) * F.col(f"{now}.total") + F.get(F.col(f"{now}.places"), (k % width).cast("int"))).cast("long")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_slot", "mix_order")]
-    return placed.select(*kept, slot.alias("mix_slot"), (slot * block_rows + F.col(rank) % block_rows).cast("long").alias("mix_order"))
+    return rows.select(*kept, slot.alias("mix_slot"), (slot * block_rows + F.col(rank) % block_rows).cast("long").alias("mix_order"))
 
 
 def in_mixed_order(docs: DataFrame, shares: dict[str, int], **options) -> DataFrame:

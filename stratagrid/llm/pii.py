@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import joined_by_key, placed, text_or_empty, written
+from stratagrid.llm.common import joined_by_key, placed, text_or_empty, upto, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -99,20 +99,12 @@ def _entities(span: Column) -> Column:
     return F.transform(F.array_compact(F.array(value, group)), lambda e: F.xxhash64(e))
 
 
-def _upto(items: Column, place: Column) -> Column:
-    """How many of items (by ascending start) begin before a place, by binary search."""
-    n = F.size(items)
-    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda j: F.call_function("shiftleft", F.lit(1), j))
-    ahead = lambda at, step: (at + step <= n) & (F.get(items, at + step - 1)["start"] < place)
-    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(ahead(at, step), step).otherwise(0))
-
-
 def _clear_terms(line: Column, emails: Column) -> Column:
     """Terms of a line with their places, but for those in an e-mail address; other spans hold no letters."""
     terms = placed(F.regexp_extract_all(line, F.lit(f"({TERMS})"), F.lit(1)), F.split(line, TERMS, -1))
 
     def outside(t: Column) -> Column:
-        before = F.get(emails, _upto(emails, t["end"]) - 1)
+        before = F.get(emails, upto(emails, t["end"]) - 1)
         return before.isNull() | (before["end"] <= t["start"])
 
     hashed = F.transform(F.filter(terms, outside), lambda t: F.struct(F.xxhash64(F.lower(t["value"])).alias("t"), t["start"].alias("start"), t["end"].alias("end")))
@@ -127,7 +119,7 @@ def _near(held: DataFrame, reach: int = 40) -> DataFrame:
     lines = lines.withColumn("emails", F.filter("spans", lambda s: s["kind"] == "email")).withColumn("terms", _clear_terms(F.col("line"), F.col("emails")))
 
     def around(s: Column) -> Column:
-        before = _upto(F.col("terms"), s["start"])
+        before = upto(F.col("terms"), s["start"])
         low = F.greatest(before - (reach - 1), F.lit(1))
         return F.struct(_entities(s).alias("es"), F.slice("terms", low, before + reach - low + 1).alias("ts"))
 

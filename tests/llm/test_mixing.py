@@ -54,12 +54,12 @@ def check(rows, shares, block, default=1):
 @pytest.mark.parametrize(("block", "per"), [(1, 7), (4, 50), (16, 20_000)])
 def test_every_prefix_keeps_the_weights(spark, block, per):
     rng = random.Random(block)
-    rows = [(i, rng.choice("aaaaabbbcd"), f"t{i}", "x") for i in range(700)] + [(900, None, None, "y"), (None, "d", "z", "y"), (900, "a", "same", "z"), (900, "a", "same", "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _rank string").repartition(5)
+    rows = [(i, rng.choice("aaaaabbbcd"), f"t{i}", "x", 7, 8, 9) for i in range(700)] + [(900, None, None, "y", 7, 8, 9), (None, "d", "z", "y", 7, 8, 9), (900, "a", "same", "z", 7, 8, 9), (900, "a", "same", "z", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _rank string, _block int, _before int, _of int").repartition(5)
     shares = {"a": 2, "b": 3, "c": 1}
-    mixed = M.mix_sources(docs, shares, block_rows=block, rows_per_range=per)
+    mixed = M.mix_sources(docs, shares, block_rows=block, rows_per_range=per, broadcast_slots=0 if block == 4 else 2_000_000)
     got = mixed.collect()
-    assert len(got) == len(rows) and Counter(tuple(r)[:4] for r in got) == Counter(rows)
+    assert len(got) == len(rows) and Counter(tuple(r)[:7] for r in got) == Counter(rows)
     check([(r["source"] or "", r["mix_slot"], r["mix_order"]) for r in got], shares, block)
 
 
@@ -73,3 +73,11 @@ def test_layout_and_empty(spark, tmp_path):
     assert M.mix_sources(docs.limit(0), {}).collect() == []
     with pytest.raises(ValueError, match="sources"):
         M.mix_sources(docs, {}, max_sources=1)
+
+
+def test_many_sources_run_out_one_after_the_other(spark):
+    rows = [(i, f"s{k}", "w " * 5000 if i == 3 else None) for k in range(25) for i in range(3 + 2 * k)] + [(None, "s1", f"t{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = M.mix_sources(docs, {"s3": 5, "s20": 4}, block_rows=2).collect()
+    assert len(got) == len(rows)
+    check([(r["source"], r["mix_slot"], r["mix_order"]) for r in got], {"s3": 5, "s20": 4}, 2)
