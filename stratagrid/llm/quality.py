@@ -7,15 +7,19 @@ its documents,
     host posterior   = (s + k1 * m) / (n + k1),              m: the global rate
     path posterior   = (s + k2 * host posterior) / (n + k2),
 
-so a sparse site is near the global rate and a sparse path near its site. The strengths k1, k2
-are estimated from the variance between groups beyond that of chance (method of moments). The
-document's posterior odds are its classifier's likelihood ratio times the path's prior odds.
+so a sparse site is near the global rate and a sparse path near its site; a label is one more
+observation beside the evidence. The strengths k1, k2 are estimated from the variance between
+groups beyond that of chance (method of moments). The document's posterior odds are its
+classifier's likelihood ratio times the path's prior odds, with the document's own evidence left
+out of the prior.
 
 The classifier is fitted on at most max_rows labelled rows, chosen by hash. All counts are over
 all documents, in grouped aggregates: paths first, hosts from paths, three numbers to the driver.
 
 Defined results: a null or empty text has zero statistics and is scored like any other; null
-hosts and paths are the groups ''; repeated ids are scored each; several labels of an id are
+hosts and paths are the groups ''; a text of any length is read whole; repeated ids are scored
+each, and of several texts of an id that of the least hash is fitted; ties at the threshold are
+kept; several labels of an id are
 averaged, null ones ignored; without labels of both kinds every document has the evidence 0.5
 and is kept; extra columns are kept; an empty table gives an empty result.
 """
@@ -62,7 +66,7 @@ def text_statistics(text: str) -> list[float]:
     return [math.log1p(len(words)), 1 - len(set(words)) / k, same / k, upper / letters if letters else 0.0, (symbols + bars) / n, shouts / n, bars / k, stops / k, len(text) / k, letters / n]
 
 
-def add_statistics(df: DataFrame, text: Column) -> DataFrame:
+def add_statistics(df: DataFrame, text: Column, prefix: str = "_x") -> DataFrame:
     """df with the statistics as columns _x0.. (in the order of NAMES); only the text goes to Python, in Arrow batches."""
     small_batches(df.sparkSession)
 
@@ -70,8 +74,9 @@ def add_statistics(df: DataFrame, text: Column) -> DataFrame:
     def statistics(texts: pd.Series) -> pd.Series:
         return pd.Series([text_statistics(t) for t in texts])
 
-    df = df.withColumn("_stats", statistics(text))
-    return df.withColumns({f"_x{i}": F.get("_stats", i) for i in range(len(NAMES))}).drop("_stats")
+    stats = free_name(df, "_stats")
+    df = df.withColumn(stats, statistics(text))
+    return df.withColumns({f"{prefix}{i}": F.get(stats, i) for i in range(len(NAMES))}).drop(stats)
 
 
 @dataclass
@@ -84,12 +89,12 @@ class Evidence:
     bias: float
     rate: float
 
-    def logit(self) -> Column:
+    def logit(self, prefix: str = "_x") -> Column:
         """Log odds of quality from the columns _x0.."""
         out = F.lit(float(self.bias))
         for i in range(len(NAMES)):
             # clipped as in the fit, so one odd statistic cannot outweigh all others
-            z = (F.col(f"_x{i}") - float(self.mean[i])) / float(self.scale[i])
+            z = (F.col(f"{prefix}{i}") - float(self.mean[i])) / float(self.scale[i])
             out = out + float(self.weights[i]) * F.least(F.greatest(z, F.lit(-5.0)), F.lit(5.0))
         return out
 
@@ -117,7 +122,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     share = max_rows / max(1, known.count())
     # a hash threshold thins the labels before the exact bound
     some = known.withColumn("_h", F.xxhash64("_id")).where(F.pmod("_h", F.lit(1_000_000)) < int(min(1.0, 1.2 * share) * 1_000_000) + 1).orderBy("_h").limit(max_rows)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(some), "_id").dropDuplicates(["_id"])
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(some), "_id")
+    rows = rows.groupBy("_id", "_h", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), F.length("_t"))).alias("_t"))
     got = add_statistics(rows, F.col("_t")).select("_h", "_y", *[f"_x{i}" for i in range(len(NAMES))]).collect()
     table = np.array(sorted(map(tuple, got)), float).reshape(-1, 2 + len(NAMES))
     return fit_logistic(table[:, 2:], table[:, 1])
@@ -141,7 +147,7 @@ def _strength(between: float, n: float, groups: float, rate: float) -> float:
 
 @dataclass
 class Sites:
-    """Path posteriors (columns _host, _path, host_posterior, path_posterior) and the numbers behind them."""
+    """Path posteriors (columns _host, _path, host_posterior, path_posterior, and the sums s, n, hs, hn) and the numbers behind them."""
 
     paths: DataFrame
     rate: float
@@ -155,7 +161,7 @@ def site_posteriors(evidence: DataFrame) -> Sites:
     hosts = paths.groupBy("_host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     s, n, groups, squares = hosts.agg(F.sum("hs"), F.sum("hn"), F.count("*"), F.sum(F.col("hs") * F.col("hs") / F.col("hn"))).first()
     if not n:
-        return Sites(paths.select("_host", "_path", F.lit(0.5).alias("host_posterior"), F.lit(0.5).alias("path_posterior")), 0.5, 1e6, 1e6)
+        return Sites(paths.select("_host", "_path", F.lit(0.5).alias("host_posterior"), F.lit(0.5).alias("path_posterior"), "s", "n", F.col("s").alias("hs"), F.col("n").alias("hn")), 0.5, 1e6, 1e6)
     rate = s / n
     k1 = _strength(squares - n * rate * rate, n, groups, rate)
     both = paths.join(hosts, "_host")
@@ -163,7 +169,7 @@ def site_posteriors(evidence: DataFrame) -> Sites:
     k2 = _strength(within, n, n_paths - groups + 1, rate)
     both = both.withColumn("host_posterior", (F.col("hs") + k1 * rate) / (F.col("hn") + k1))
     both = both.withColumn("path_posterior", (F.col("s") + k2 * F.col("host_posterior")) / (F.col("n") + k2))
-    return Sites(written(both.select("_host", "_path", "host_posterior", "path_posterior"), "quality-sites"), rate, k1, k2)
+    return Sites(written(both.select("_host", "_path", "host_posterior", "path_posterior", "s", "n", "hs", "hn"), "quality-sites"), rate, k1, k2)
 
 
 def score_quality(
@@ -181,20 +187,29 @@ def score_quality(
 ) -> DataFrame:
     """docs with quality_evidence, host_posterior, path_posterior, quality_posterior and quality_keep."""
     model = fit_evidence(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
-    text = free_name(docs, "_text")
     taken = {"quality_evidence", "host_posterior", "path_posterior", "quality_posterior", "quality_keep"}
     docs = docs.drop(*[c for c in docs.columns if c in taken])
+    p = "_q"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumns({text: text_or_empty(text_col), "_host": F.coalesce(host.cast("string"), F.lit("")), "_path": F.coalesce(path.cast("string"), F.lit(""))})
-    rows = add_statistics(rows, F.col(text)).withColumn("_z", model.logit())
+    rows = docs.withColumns({f"{p}text": text_or_empty(text_col), f"{p}host": F.coalesce(host.cast("string"), F.lit("")), f"{p}path": F.coalesce(path.cast("string"), F.lit(""))})
+    rows = add_statistics(rows, F.col(f"{p}text"), f"{p}x").withColumn(f"{p}z", model.logit(f"{p}x"))
+    z = F.col(f"{p}z")
     known = labels.select(F.col(f"`{id_col}`").alias("_lid"), F.col(f"`{label_col}`").cast("double").alias("_y")).where("_lid is not null and _y is not null").groupBy("_lid").agg(F.avg("_y").alias("_y"))
-    marked = rows.select(F.col(f"`{id_col}`").alias("_lid"), "_host", "_path", _sigmoid(F.col("_z")).alias("_c")).join(known, "_lid", "left")
-    sites = site_posteriors(marked.select("_host", "_path", F.coalesce("_y", "_c").alias("_p")))
-    paths = F.broadcast(sites.paths) if sites.paths.count() <= broadcast_paths else sites.paths
+    marked = rows.select(F.col(f"`{id_col}`").alias("_lid"), F.col(f"{p}host").alias("_host"), F.col(f"{p}path").alias("_path"), _sigmoid(z).alias("_c")).join(known, "_lid", "left")
+    seen = marked.select("_host", "_path", F.explode(F.array_compact(F.array("_c", "_y"))).alias("_p"))
+    sites = site_posteriors(seen)
+    names = {c: f"{p}{c}" for c in ("s", "n", "hs", "hn")} | {"_host": f"{p}host", "_path": f"{p}path"}
+    paths = sites.paths.withColumnsRenamed(names)
+    paths = F.broadcast(paths) if sites.paths.count() <= broadcast_paths else paths
     base = float(np.log(model.rate / (1 - model.rate)))
-    posterior = _sigmoid(F.col("_z") - base + _logit(F.col("path_posterior")))
-    out = rows.join(paths, ["_host", "_path"]).withColumn("_q", posterior)
-    return out.select(*columns, _sigmoid(F.col("_z")).alias("quality_evidence"), "host_posterior", "path_posterior", F.col("_q").alias("quality_posterior"), (F.col("_q") >= threshold).alias("quality_keep"))
+    # the prior without the document's own evidence
+    less = lambda total: F.greatest(F.col(f"{p}{total}") - _sigmoid(z), F.lit(0.0))
+    host_prior = (less("hs") + sites.host_strength * sites.rate) / (F.col(f"{p}hn") - 1 + sites.host_strength)
+    prior = (less("s") + sites.path_strength * host_prior) / (F.col(f"{p}n") - 1 + sites.path_strength)
+    out = rows.join(paths, [f"{p}host", f"{p}path"]).withColumn(f"{p}q", _sigmoid(z - base + _logit(prior)))
+    return out.select(*columns, _sigmoid(z).alias("quality_evidence"), "host_posterior", "path_posterior", F.col(f"{p}q").alias("quality_posterior"), (F.col(f"{p}q") >= threshold).alias("quality_keep"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

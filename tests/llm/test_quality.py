@@ -67,3 +67,35 @@ def test_nulls_ties_labels_and_empty(spark):
     kept = Q.keep_quality(docs, labels.limit(0), host=F.col("source"), path=F.col("quality"))
     assert kept.count() == 4 and kept.columns == docs.columns
     assert Q.keep_quality(docs.limit(0), labels, host=F.col("source"), path=F.col("quality")).count() == 0
+
+
+def test_clashing_names_long_texts_and_order_of_rows(spark):
+    rows = [(i, f"Some good text here, number {i}." if i % 3 else "*** $$$ BUY !!! " * (2 + i % 5), "s" if i % 2 else "t", 1, 2.0, "h", "p", "q") for i in range(60)]
+    rows += [(1, "*** $$$ other text of the id", "s", 1, 2.0, "h", "p", "q"), (70, "fine words. " * 20_000, "s", 1, 2.0, "h", "p", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _x0 int, _z double, _host string, _path string, _qhost string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(50)], "doc_id long, quality int")
+    score = lambda df: {(r["doc_id"], r["text"]): tuple(r) for r in Q.score_quality(df, labels, host=F.col("source"), path=F.col("_path")).collect()}
+    got = score(docs.repartition(7))
+    assert len(got) == 62 and all(r[3:8] == (1, 2.0, "h", "p", "q") for r in got.values())
+    other = score(docs.orderBy(F.desc("text")).coalesce(2))
+    assert all(other[k] == pytest.approx(v) if isinstance(v, float) else other[k][8:12] == pytest.approx(v[8:12]) for k, v in got.items())
+    assert got[70, rows[-1][1]][-1] is True
+
+
+def test_document_posteriors_against_the_formulas(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["Good", "words", "***", "$$", "here."], 12)), f"h{i % 4}", f"p{i % 3}") for i in range(80)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in Q.score_quality(docs, labels, host=F.col("source"), path=F.col("lang")).collect()}
+    model = Q.fit_evidence(docs, labels)
+    c = {i: got[i]["quality_evidence"] for i in got}
+    z = {i: model.bias + float(np.clip((np.array(plain(t)) - model.mean) / model.scale, -5, 5) @ model.weights) for i, t, _, _ in rows}
+    seen = [(h, p, v) for i, _, h, p in rows for v in ([c[i]] + ([float(i % 2)] if i < 40 else []))]
+    s = Q.site_posteriors(spark.createDataFrame(seen, "_host string, _path string, _p double"))
+    for i, _, h, p in rows:
+        assert c[i] == pytest.approx(1 / (1 + np.exp(-z[i])))
+        hv, pv = [x[2] for x in seen if x[0] == h], [x[2] for x in seen if x[:2] == (h, p)]
+        hp = (sum(hv) - c[i] + s.host_strength * s.rate) / (len(hv) - 1 + s.host_strength)
+        pp = (sum(pv) - c[i] + s.path_strength * hp) / (len(pv) - 1 + s.path_strength)
+        odds = np.exp(z[i]) * (1 - model.rate) / model.rate * pp / (1 - pp)
+        assert got[i]["quality_posterior"] == pytest.approx(odds / (1 + odds)) and got[i]["quality_keep"] == (got[i]["quality_posterior"] >= 0.5)
