@@ -17,12 +17,16 @@ Recall: with a fraction d of a passage's words edited, a key of k sampled positi
 with probability of about (1 - d)^(positions walked up to the last sample); each of some
 words / stride windows has `repeats` trials. At the default parameters exact passages are always
 found and passages edited by the whole limit with probability of 0.99 or more at every length
-(8 to 40 words, measured in the tests).
+(8 to 1,000 words, measured in the tests). Windows have at most 24 steps: a walk over more words
+would hardly ever survive edits of a fifth of them, and a long passage has many windows.
 
-Items are the small side: they are sent to every task, under a checked bound (max_item_words).
+Items are the smaller side: an index of them is in each task's worker. Items of over slice_chars
+characters are dealt into slices by hash, each with its own index and pass over the documents, so
+any number of items has the same result in bounded memory (about 300 bytes a character of a slice).
 
 Defined results: null and empty texts match nothing; items without words match nothing; equal
-items are reported each; repeated documents are each reported; a document or item with a null id
+items are one in the index and reported each; of equally good places (ties) the first counts;
+documents and items of any length are read whole; repeated documents are each reported; a document or item with a null id
 keeps it; extra columns are ignored; empty tables give an empty result.
 """
 
@@ -87,8 +91,12 @@ class Index:
 
     def __init__(self, items: list[tuple], similarity: float, stride: int, repeats: int, seed: int):
         self.similarity = similarity
-        self.ids = [i for i, _ in items]
-        texts = [words_of(t) for _, t in items]
+        same: dict[tuple[str, ...], list] = {}
+        for i, t in items:
+            same.setdefault(tuple(words_of(t)), []).append(i)
+        #: Equal items are one, with all their ids.
+        self.ids = list(same.values())
+        texts = list(same)
         self.vocab = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.words = [np.array([self.vocab[w] for w in t], np.int32) for t in texts]
         self.edits = [int((1 - similarity) * len(t) + 1e-9) for t in texts]
@@ -107,15 +115,20 @@ class Index:
             bits = rng.integers(0, 1 << 63, (n, len(self.vocab) + 1), dtype=np.uint64)
             # an unknown word or the end always moves on, so that a walk cannot hang on it
             bits[:, 0] = np.uint64((1 << 64) - 1)
+            # the items' words end to end, with a gap that no walk crosses after each
+            lengths = np.array([len(self.words[i]) for i in own])
+            first = np.concatenate([[0], np.cumsum(lengths + steps + 1)[:-1]])
+            laid = np.zeros(int((lengths + steps + 1).sum()), np.int32)
+            for f, i in zip(first, own, strict=True):
+                laid[f : f + len(self.words[i])] = self.words[i]
+            item = np.repeat(np.array(own), lengths)
+            word = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            begin = np.repeat(first, lengths) + word
             keys, entries = [], []
-            for i in own:
-                w = self.words[i]
-                padded = np.concatenate([w, np.zeros(steps + 1, np.int32)])
-                begin = np.arange(len(w))
-                for r in range(n):
-                    key = walk(padded, begin, steps, samples[r], bits[r], r)
-                    keys.append(key[key > 0])
-                    entries.append(np.stack([np.full((key > 0).sum(), i), begin[key > 0]], axis=1))
+            for r in range(n):
+                key = walk(laid, begin, steps, samples[r], bits[r], r)
+                keys.append(key[key > 0])
+                entries.append(np.stack([item[key > 0], word[key > 0]], axis=1))
             key, entry = np.concatenate(keys), np.concatenate(entries)
             order = np.argsort(key, kind="stable")
             maybe = np.zeros(1 << 20, bool)
@@ -206,15 +219,25 @@ def benchmark_matches(
     stride: int = 4,
     repeats: int = 8,
     seed: int = 11,
-    max_item_words: int = 20_000_000,
+    slice_chars: int = 2_000_000,
 ) -> DataFrame:
     """The best match of each item in each document that holds it: one row a (document, item)."""
     small_batches(docs.sparkSession)
-    size = items.agg(F.coalesce(F.sum(F.length(item_text_col)), F.lit(0))).first()[0]
-    if size > 2 * max_item_words:
-        raise ValueError(f"the items have {size} characters; the bound is {2 * max_item_words}")
-    rows = items.select(F.col(f"`{item_id_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string")).collect()
-    packed = docs.sparkSession.sparkContext.broadcast(sorted(((r[0], r[1]) for r in rows if words_of(r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    named = items.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
+    size = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    slices = max(1, -(-int(size) // slice_chars))
+    out = None
+    for k in range(slices):
+        # equal items have equal hashes, so they stay together
+        some = named if slices == 1 else named.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)
+        got = _matches_of(docs, [tuple(r) for r in some.collect()], id_col, text_col, similarity, stride, repeats, seed)
+        out = got if out is None else out.union(got)
+    return out
+
+
+def _matches_of(docs: DataFrame, rows: list[tuple], id_col: str, text_col: str, *options) -> DataFrame:
+    """The matches of items (id, text) of bounded size."""
+    packed = docs.sparkSession.sparkContext.broadcast(sorted((r for r in rows if words_of(r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
     key = uuid.uuid4().hex
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -222,7 +245,7 @@ def benchmark_matches(
         index = None
         for b in batches:
             if index is None:
-                index = index_for(key, packed.value, similarity, stride, repeats, seed)
+                index = index_for(key, packed.value, *options)
             if not index.classes:
                 continue
             out, texts, doc_ids = [], b.column(1), b.column(0).to_pylist()
@@ -271,8 +294,9 @@ def _match_group(index: Index, group: list[tuple]) -> list[tuple]:
             if got is not None and (had is None or got < had):
                 best[d, item] = got
     return [
-        (group[d][0], index.ids[i], e, len(index.words[i]), 1 - e / len(index.words[i]), int(a - first[d]), int(b - first[d]))
+        (group[d][0], item_id, e, len(index.words[i]), 1 - e / len(index.words[i]), int(a - first[d]), int(b - first[d]))
         for (d, i), (e, a, b) in sorted(best.items())
+        for item_id in index.ids[i]
     ]
 
 

@@ -100,9 +100,9 @@ def test_drop_keeps_clean_rows_and_columns(spark):
 
 
 def test_recall_of_every_length_at_the_edit_limit():
-    for n in (8, 9, 10, 12, 15, 16, 17, 18, 20, 24, 25, 40):
+    for n in (8, 9, 10, 12, 15, 16, 17, 18, 20, 24, 25, 40, 200, 1000):
         rng = random.Random(3 + n)
-        items = [(k, rng.choices(range(2000), k=n)) for k in range(300)]
+        items = [(k, rng.choices(range(2000), k=n)) for k in range(300 if n <= 40 else 12)]
         index = D.Index([(k, " ".join(f"w{x}" for x in w)) for k, w in items], 0.8, 4, 8, 11)
         docs = []
         for k, w in items:
@@ -111,3 +111,14 @@ def test_recall_of_every_length_at_the_edit_limit():
             docs.append((k, np.array([index.vocab.get(x, 0) for x in text], np.int32)))
         got = {m[:2] for m in D._match_group(index, docs)}
         assert sum((k, k) in got for k, _ in items) >= 0.99 * len(items), n
+
+
+def test_items_in_slices_have_the_same_matches(spark):
+    docs, items = build(random.Random(6), n_items=12, n_docs=60)
+    items += [(100, items[0][1]), (101, items[0][1].upper())]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(tuple(r)[:2] for r in df.collect())
+    whole = rows(D.benchmark_matches(d, i))
+    size = sum(len(t) for _, t in items)
+    assert rows(D.benchmark_matches(d, i, slice_chars=size // 3)) == whole
+    assert {(k, 100) for k, j in whole if j == 0} | {(k, 101) for k, j in whole if j == 0} <= set(whole)
