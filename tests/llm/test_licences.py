@@ -75,3 +75,24 @@ def test_report_keeps_wrapped_rules_beside_others_of_the_licence(spark):
     assert got[0] == "mit-released:0:1,mit-text:1:4"
     assert got[1] == "mit-text:0:4,mit-text:4:4" and got[3] == got[4] == "mit-text:0:4" and got[5] == "mit-released:0:1"
     assert got[2].count("mit-text") == 2
+
+
+def test_sentences_that_name_a_licence(spark):
+    cases = {
+        "This file is licensed under the MIT License.": "MIT",
+        "Copyright 2020 X. Licensed under the MIT license, see LICENSE": "MIT",
+        "Copyright (c) 2019-2021 Some One, released under the Apache License, Version 2.0": "Apache-2.0",
+        "// SPDX-License-Identifier: Apache-2.0\ncode": "Apache-2.0",
+        "# SPDX-License-Identifier:GPL-2.0-or-later": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1-only",
+        "The MIT License (MIT)\n\nhello": "MIT",
+        "All our documents are made available under the terms of the Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0-or-later",
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1": "",
+        "We talked about a license for the boat, licensed under stars.": "",
+        "The driver license of the MIT student was lost.": "",
+        "Licensed to nobody. All rights reserved. Copyright 2020.": "",
+        "A license.": "",
+    }
+    got = L.licence_report(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert {list(cases)[r["doc_id"]]: r["licences"] for r in got} == cases
