@@ -55,7 +55,9 @@ def largest_remainder(cells: DataFrame, zone: str, cell: str, value: str, target
     sizes = c.where("_live").groupBy(zone, "_range").agg(F.count("*").alias("_n"), F.sum("_floor").alias("_f"))
     w, down = Window.partitionBy(zone), Window.partitionBy(zone).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(zone, "_range", F.coalesce(F.sum("_n").over(down), F.lit(0)).alias("_before"), F.sum("_f").over(w).alias("_floors"), F.sum("_n").over(w).alias("_all"))
-    order = Window.partitionBy(zone, "_live", "_range").orderBy(F.desc("_frac"), cell)
+    # cells that get nothing need no rank: they are dealt by hash, as they may be most of a zone
+    c = c.withColumn("_dead", F.when(F.col("_live"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(cell), F.lit(1 << 20))))
+    order = Window.partitionBy(zone, "_live", "_range", "_dead").orderBy(F.desc("_frac"), cell)
     c = c.withColumn("_rank", F.row_number().over(order)).join(sizes, [zone, "_range"], "left").withColumn("_rank", F.col("_rank") + F.col("_before"))
     short = F.col("_goal") - F.col("_floors")
     more = F.when(F.col("_rank") <= short, 1).when(F.col("_rank") > F.col("_all") + short, -1).otherwise(0)

@@ -109,3 +109,16 @@ def complete_series(df: DataFrame, keys: list[str], t: str, times: list) -> Data
     """Rows of the keys that have a row at every one of the times: the inner join of all times, with one shuffle."""
     whole = df.where(F.col(t).isin(times)).groupBy(*keys).agg(F.count_distinct(t).alias("_n")).where(F.col("_n") == len(set(times)))
     return df.join(whole.drop("_n"), keys, "left_semi")
+
+
+def density_cap(df: DataFrame, animal: str, density: str, caps: dict[str, float]) -> DataFrame:
+    """Rows whose density is at most the cap of their animal; those without a density or a cap go."""
+    return df.where(F.coalesce(F.col(density) <= remap(F.col(animal), caps, False), F.lit(False)))
+
+
+def side_by_side(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Columns of several tables beside each other, row by key (never by position); a key that a table lacks has NULLs there."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.join(df, keys, "full")
+    return out

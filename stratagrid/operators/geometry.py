@@ -77,22 +77,82 @@ def join_points_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str,
     return p.join(covered, exact, how).drop("_cx", "_cy")
 
 
-def rasterize(polygons: DataFrame, rings: str, res: float, all_touched: bool = False) -> DataFrame:
-    """polygons with the cells (row, col) they cover: centre rule, or every cell whose square meets the bounding box edge rule.
+def segment_meets_box(p: Column, q: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether the segment from p to q meets a closed box: no axis (both of the box, the segment's normal) separates them."""
+    mx, my = (p["x"] + q["x"] - x0 - x1) / 2, (p["y"] + q["y"] - y0 - y1) / 2
+    dx, dy = F.abs(q["x"] - p["x"]) / 2, F.abs(q["y"] - p["y"]) / 2
+    hx, hy = (x1 - x0) / 2, (y1 - y0) / 2
+    across = F.abs(mx * (q["y"] - p["y"]) / 2 - my * (q["x"] - p["x"]) / 2)
+    return (F.abs(mx) <= hx + dx) & (F.abs(my) <= hy + dy) & (across <= hx * dy + hy * dx)
+
+
+def _edges_exist(ring: Column, test) -> Column:
+    """Whether test(p, q) holds for an edge of a ring."""
+    n = F.size(ring)
+    return F.exists(F.transform(ring, lambda p, i: test(p, F.get(ring, (i + 1) % n))), lambda t: t)
+
+
+def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether the segments ab and cd cross or touch (general position: overlapping collinear ones meet at an end)."""
+    side = lambda p, q, r: F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+    return (side(a, b, c) * side(a, b, d) <= 0) & (side(c, d, a) * side(c, d, b) <= 0) & (side(a, b, c).isNotNull())
+
+
+def polygons_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: edges that cross, or one within the other."""
+    one = lambda rings: F.get(F.get(rings, 0), 0)
+    inside = point_in_polygon(one(a)["x"], one(a)["y"], b) | point_in_polygon(one(b)["x"], one(b)["y"], a)
+    crossing = F.exists(a, lambda r: _edges_exist(r, lambda p, q: F.exists(b, lambda s: _edges_exist(s, lambda u, v: segments_meet(p, q, u, v)))))
+    return inside | crossing
+
+
+def join_polygons(left: DataFrame, right: DataFrame, left_rings: str, right_rings: str, size: float) -> DataFrame:
+    """Pairs of polygons that share a point, each once.
 
-    all_touched keeps a cell if its centre or one of its corners is inside, or a vertex of the
-    outer ring lies in it.
+    Both sides stand in the grid cells of their boxes; a pair is taken from the cell that holds the
+    lower left corner of its boxes' overlap, so that no distinct is needed; then the exact test.
     """
+
+    def celled(df: DataFrame, rings: str, tag: str) -> DataFrame:
+        box = df.withColumn(f"_b{tag}", bounds(F.col(rings)))
+        cells = box.withColumn("_c", F.explode(cells_of_box(F.col(f"_b{tag}"), size)))
+        return cells.withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
+
+    p, q = F.col("_b1"), F.col("_b2")
+    both = celled(left, left_rings, "1").join(celled(right, right_rings, "2"), ["_cx", "_cy"])
+    x0, y0 = F.greatest(p["x0"], q["x0"]), F.greatest(p["y0"], q["y0"])
+    near = (x0 <= F.least(p["x1"], q["x1"])) & (y0 <= F.least(p["y1"], q["y1"]))
+    own = (F.floor(x0 / size) == F.col("_cx")) & (F.floor(y0 / size) == F.col("_cy"))
+    return both.where(near & own & polygons_meet(F.col(left_rings), F.col(right_rings))).drop("_cx", "_cy", "_b1", "_b2")
+
+
+def rasterize(polygons: DataFrame, rings: str, res: float, all_touched: bool = False) -> DataFrame:
+    """polygons with the cells (row, col) they cover: those whose centre is inside, or with all_touched every cell that an edge meets as well."""
     c = polygons.withColumn("_c", F.explode(cells_of_box(bounds(F.col(rings)), res)))
     col, row = F.col("_c.cx"), F.col("_c.cy")
-    inside = lambda dx, dy: point_in_polygon((col + dx) * res, (row + dy) * res, F.col(rings))
-    keep = inside(0.5, 0.5)
+    keep = point_in_polygon((col + 0.5) * res, (row + 0.5) * res, F.col(rings))
     if all_touched:
-        vertex = F.exists(F.get(F.col(rings), 0), lambda p: (F.floor(p["x"] / res) == col) & (F.floor(p["y"] / res) == row))
-        keep = keep | inside(0.0, 0.0) | inside(1.0, 0.0) | inside(0.0, 1.0) | inside(1.0, 1.0) | vertex
+        keep = keep | F.exists(rings, lambda r: _edges_exist(r, lambda p, q: segment_meets_box(p, q, col * res, row * res, (col + 1) * res, (row + 1) * res)))
     return c.where(keep).withColumns({"row": row, "col": col}).drop("_c")
 
 
+def burn_lines(lines: DataFrame, points: str, res: float) -> DataFrame:
+    """lines with the cells (row, col) that they touch, each cell once a line; points is an array of (x, y).
+
+    Each segment stands in the cells of its own box only, so a long line is many small pieces.
+    """
+    key = "_line"
+    n = F.size(points)
+    pairs = F.transform(F.slice(points, F.lit(1), n - 1), lambda p, i: F.struct(p.alias("p"), F.get(points, i + 1).alias("q")))
+    seg = lines.withColumn(key, F.monotonically_increasing_id()).withColumn("_s", F.explode(F.when(n > 1, pairs)))
+    p, q = F.col("_s.p"), F.col("_s.q")
+    box = F.struct(F.least(p["x"], q["x"]).alias("x0"), F.least(p["y"], q["y"]).alias("y0"), F.greatest(p["x"], q["x"]).alias("x1"), F.greatest(p["y"], q["y"]).alias("y1"))
+    c = seg.withColumn("_c", F.explode(cells_of_box(box, res)))
+    col, row = F.col("_c.cx"), F.col("_c.cy")
+    c = c.where(segment_meets_box(p, q, col * res, row * res, (col + 1) * res, (row + 1) * res)).withColumns({"row": row, "col": col}).drop("_c", "_s")
+    return c.dropDuplicates([key, "row", "col"]).drop(key)
+
+
 def tiles(x0: float, y0: float, x1: float, y1: float, size: float, spark) -> DataFrame:
     """Tile index of a bounding box: tile_id and bounds, rows from the top."""
     nx, ny = math.ceil((x1 - x0) / size), math.ceil((y1 - y0) / size)

@@ -138,14 +138,14 @@ def zonal_mean_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "coverage_filter",
-    """WITH z AS (SELECT s_suppkey AS zone, 60.0 AS area FROM supplier), g AS (SELECT l_suppkey AS zone, sum(CASE WHEN l_quantity > 25 THEN l_quantity END) AS a, count(CASE WHEN l_quantity > 25 THEN l_quantity END) AS an, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS b, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS bn FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY 1),
+    """WITH z AS (SELECT s_suppkey AS zone, 1200.0 AS area FROM supplier), g AS (SELECT l_suppkey AS zone, sum(CASE WHEN l_quantity > 25 THEN l_quantity END) AS a, count(CASE WHEN l_quantity > 25 THEN l_quantity END) AS an, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS b, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS bn FROM lineitem GROUP BY 1),
 j AS (SELECT zone, area, a, b, coalesce(an, 0) * 4.0 / area * 100 AS ca, coalesce(bn, 0) * 4.0 / area * 100 AS cb FROM z LEFT JOIN g USING (zone))
 SELECT zone, area, CASE WHEN ca >= 50 THEN a END AS a, CASE WHEN cb >= 50 THEN b END AS b FROM j WHERE ca >= 50 OR cb >= 50""",
 )
 def coverage_filter(spark: SparkSession, sf: str) -> DataFrame:
     q = F.col("l_quantity")
-    cells = table(spark, sf, "lineitem").where("l_partkey % 20 = 0").select(F.col("l_suppkey").alias("zone"), F.when(q > 25, q).alias("a"), F.when(F.col("l_returnflag") == "A", q).alias("b"))
-    zones = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("zone"), F.lit(60.0).alias("area"))
+    cells = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("zone"), F.when(q > 25, q).alias("a"), F.when(F.col("l_returnflag") == "A", q).alias("b"))
+    zones = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("zone"), F.lit(1200.0).alias("area"))
     return C.coverage(cells, zones, "zone", ["a", "b"], "area", 4.0)
 
 
@@ -215,9 +215,9 @@ def static_broadcast(spark: SparkSession, sf: str) -> DataFrame:
     return grid.join(t, ["nation", "year"], "left").na.fill(0, ["n"])
 
 
-@query("layer_catalogue", "SELECT p_name AS name, CAST(y AS INT) AS year, CASE WHEN p_size % 2 = 0 THEN 'x/' || p_partkey || '_' || y || '.tif' ELSE 'x/' || p_partkey || '.tif' END AS path FROM part, unnest(range(2000, 2004)) AS u(y) WHERE p_partkey < 50")
+@query("layer_catalogue", "SELECT p_name AS name, CAST(y AS INT) AS year, CASE WHEN p_size % 2 = 0 THEN 'x/' || p_partkey || '_' || y || '.tif' ELSE 'x/' || p_partkey || '.tif' END AS path FROM part, unnest(range(2000, 2004)) AS u(y)")
 def layer_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey < 50")
+    p = table(spark, sf, "part")
     temporal = F.col("p_size") % 2 == 0
     cat = p.select(F.col("p_name").alias("name"), F.when(temporal, "temporal").otherwise("static").alias("type"), F.concat(F.lit("x/"), F.col("p_partkey"), F.when(temporal, "_{year}.tif").otherwise(".tif")).alias("path"))
     return C.expand_layers(cat, 2000, 2003).select("name", "year", "path")
@@ -258,7 +258,7 @@ def tile_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "photon_filter",
-    """WITH p AS (SELECT doc_id, n_chars % 70 AS n, n_chars % 25 AS te, CASE WHEN length(a) > 0 THEN len(string_split(a, ',')) ELSE 0 END + CASE WHEN length(b) > 0 THEN len(string_split(b, ',')) ELSE 0 END AS tokens, n_chars % 7 AS veg FROM (SELECT doc_id, n_chars, substr(text, 1, 60) AS a, substr(text, 61, 60) AS b FROM documents))
+    """WITH p AS (SELECT doc_id, n_chars % 70 AS n, n_chars % 25 AS te, CASE WHEN length(a) > 0 THEN len(string_split(a, ',')) ELSE 0 END + CASE WHEN length(b) > 0 THEN len(string_split(b, ',')) ELSE 0 END AS tokens, n_chars % 7 AS veg FROM (SELECT doc_id, n_chars, substr(text, 1, CAST(length(text) // 2 AS BIGINT)) AS a, substr(text, CAST(length(text) // 2 + 1 AS BIGINT)) AS b FROM documents))
 SELECT doc_id, CAST(n + tokens AS BIGINT) AS valid, n - te - veg AS signal FROM p WHERE n + tokens BETWEEN 3 AND 60 AND veg >= 3 AND n - te - veg <= 35""",
 )
 def photon_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,5 +266,6 @@ def photon_filter(spark: SparkSession, sf: str) -> DataFrame:
 
     d = table(spark, sf, "documents")
     n, te, veg = F.col("n_chars") % 70, F.col("n_chars") % 25, F.col("n_chars") % 7
-    valid = n + count_tokens(F.substring("text", 1, 60)) + count_tokens(F.substring("text", 61, 60))
+    half = F.floor(F.length("text") / 2).cast("int")
+    valid = n + count_tokens(F.substring("text", F.lit(1), half)) + count_tokens(F.substring("text", half + 1, F.length("text")))
     return d.select("doc_id", valid.cast("long").alias("valid"), (n - te - veg).alias("signal"), veg.alias("veg")).where(F.col("valid").between(3, 60) & (F.col("veg") >= 3) & (F.col("signal") <= 35)).drop("veg")

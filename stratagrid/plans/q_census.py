@@ -181,9 +181,9 @@ def filename_dates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", a.alias("first"), b.alias("last"))
 
 
-@query("month_range", "SELECT c_custkey, CAST(m AS DATE) AS month FROM (SELECT o_custkey AS c_custkey, unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS m FROM orders WHERE o_custkey < 20 GROUP BY 1)")
+@query("month_range", "SELECT c_custkey, CAST(m AS DATE) AS month FROM (SELECT o_custkey AS c_custkey, unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS m FROM orders GROUP BY 1)")
 def month_range(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey < 20").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.trunc(F.min("o_orderdate"), "month").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.trunc(F.min("o_orderdate"), "month").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
     return o.select("c_custkey", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
 
 
@@ -208,3 +208,17 @@ def mask_predicates(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("o_orderdate")
     one = (d > F.lit("1996-01-01").cast("timestamp")) & (d <= F.lit("1999-12-31").cast("timestamp")) & F.col("o_orderstatus").isin("F", "O") & F.contains("o_orderpriority", F.lit("HIGH"))
     return table(spark, sf, "orders").where(one | F.col("o_totalprice").between(1000, 20000)).select("o_orderkey")
+
+
+@query("density_cap", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal <= CASE c_mktsegment WHEN 'BUILDING' THEN 1511.0 WHEN 'AUTOMOBILE' THEN 713.0 WHEN 'MACHINERY' THEN 832.0 WHEN 'HOUSEHOLD' THEN 83.0 END")
+def density_cap(spark: SparkSession, sf: str) -> DataFrame:
+    caps = {"BUILDING": 1511.0, "AUTOMOBILE": 713.0, "MACHINERY": 832.0, "HOUSEHOLD": 83.0}
+    return C.density_cap(table(spark, sf, "customer"), "c_mktsegment", "c_acctbal", caps).select("c_custkey", "c_mktsegment")
+
+
+@query("side_by_side", "SELECT * FROM (SELECT o_custkey AS k, count(*) AS n_orders FROM orders GROUP BY 1) FULL JOIN (SELECT c_custkey AS k, c_nationkey AS nation FROM customer) USING (k) FULL JOIN (SELECT user_id AS k, count(*) AS n_events FROM events GROUP BY 1) USING (k)")
+def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n_orders"))
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    events = table(spark, sf, "events").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("n_events"))
+    return C.side_by_side([orders, customers, events], ["k"])

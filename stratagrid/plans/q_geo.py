@@ -14,10 +14,10 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 97 + 0.5).alias("x"), (F.col("c_acctbal") / 100).alias("y"))
 
 
-def _squares(spark: SparkSession, sf: str) -> DataFrame:
+def _squares(spark: SparkSession, sf: str, half: float = 6.0) -> DataFrame:
     s = table(spark, sf, "supplier")
     x, y = (F.col("s_suppkey") * 7 % 90).cast("double"), F.col("s_acctbal") / 100
-    return s.select("s_suppkey", G.envelope(x, y, 6.0).alias("rings"))
+    return s.select("s_suppkey", G.envelope(x, y, half).alias("rings"))
 
 
 _PTS = "p AS (SELECT c_custkey, c_custkey % 97 + 0.5 AS x, c_acctbal / 100 AS y FROM customer), s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS sx, s_acctbal / 100 AS sy FROM supplier)"
@@ -33,9 +33,9 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
     return G.join_points_polygons(_points(spark, sf), _squares(spark, sf), "x", "y", "rings", 8.0).select("c_custkey", "s_suppkey")
 
 
-@query("point_tile_left", f"WITH {_PTS} SELECT c_custkey, s_suppkey FROM p LEFT JOIN s ON s_suppkey < 3 AND x > sx - 6 AND x < sx + 6 AND y > sy - 6 AND y < sy + 6")
+@query("point_tile_left", f"WITH {_PTS} SELECT c_custkey, s_suppkey FROM p LEFT JOIN s ON x > sx - 1 AND x < sx + 1 AND y > sy - 1 AND y < sy + 1")
 def point_tile_left(spark: SparkSession, sf: str) -> DataFrame:
-    return G.join_points_polygons(_points(spark, sf), _squares(spark, sf).where("s_suppkey < 3"), "x", "y", "rings", 8.0, "left").select("c_custkey", "s_suppkey")
+    return G.join_points_polygons(_points(spark, sf), _squares(spark, sf, 1.0), "x", "y", "rings", 8.0, "left").select("c_custkey", "s_suppkey")
 
 
 @query("tile_of_point", f"WITH {_PTS} SELECT c_custkey, CAST(floor((100 - y) / 10) * 10 + floor(x / 10) AS BIGINT) AS tile_id FROM p")
@@ -81,3 +81,30 @@ def homolosine(spark: SparkSession, sf: str) -> DataFrame:
 def enclosing_circle(spark: SparkSession, sf: str) -> DataFrame:
     c = G.enclosing_radius(_squares(spark, sf), "s_suppkey", "rings")
     return c.select("s_suppkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("radius", 6).alias("radius"))
+
+
+_MEET = "abs((px + qx - 2 * c - 1) / 2) <= 0.5 + abs(qx - px) / 2 AND abs((py + qy - 2 * r - 1) / 2) <= 0.5 + abs(qy - py) / 2 AND abs((px + qx - 2 * c - 1) / 2 * (qy - py) / 2 - (py + qy - 2 * r - 1) / 2 * (qx - px) / 2) <= 0.5 * abs(qy - py) / 2 + 0.5 * abs(qx - px) / 2"
+_SEG = "s AS (SELECT s_suppkey AS k, s_suppkey * 7 % 90 + 0.13 AS px, s_acctbal / 100 AS py, s_suppkey * 7 % 90 + 0.13 + s_suppkey % 11 - 5 AS qx, s_acctbal / 100 + s_suppkey % 7 - 3 AS qy FROM supplier)"
+
+
+@query(
+    "burn_count",
+    f"WITH {_SEG}, g AS (SELECT * FROM s, range(-10, 110) AS a(c), range(-20, 120) AS b(r)) SELECT r AS row, c AS col, count(*) AS n FROM g WHERE {_MEET} GROUP BY 1, 2",
+)
+def burn_count(spark: SparkSession, sf: str) -> DataFrame:
+    x, y, k = F.col("s_suppkey") * 7 % 90 + 0.13, F.col("s_acctbal") / 100, F.col("s_suppkey")
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    lines = table(spark, sf, "supplier").select("s_suppkey", F.array(at(x, y), at(x + k % 11 - 5, y + k % 7 - 3)).alias("points"))
+    return G.burn_lines(lines, "points", 1.0).groupBy("row", "col").agg(F.count("*").alias("n"))
+
+
+@query(
+    "polygon_pairs",
+    "WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS sx, s_acctbal / 100 AS sy FROM supplier), p AS (SELECT p_partkey, p_partkey % 97 + 0.25 AS px, p_retailprice / 20 AS py FROM part) SELECT s_suppkey, p_partkey FROM s JOIN p ON abs(sx - px) <= 6.7 AND abs(sy - py) <= 6.7 AND abs(sx - px) + abs(sy - py) <= 12.7",
+)
+def polygon_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = F.col("p_partkey") % 97 + 0.25, F.col("p_retailprice") / 20
+    at = lambda a, b: F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y"))
+    # a diamond of half width 0.7 against a square of half side 6: the sum of both shapes is an octagon
+    diamonds = table(spark, sf, "part").select("p_partkey", F.array(F.array(at(-0.7, 0), at(0, -0.7), at(0.7, 0), at(0, 0.7))).alias("diamond"))
+    return G.join_polygons(_squares(spark, sf), diamonds, "rings", "diamond", 8.0).select("s_suppkey", "p_partkey")
