@@ -86,6 +86,11 @@ def test_only_letters_are_words():
     assert L.WORD.findall("½ ² ① Ⅷ 12 _ ٣") == [] and L.WORD.findall("a½b 一二 é1 x_y") == ["a", "b", "一二", "é", "x", "y"]
 
 
+def test_words_of_any_text_are_runs_of_letters():
+    for t in ("Ab½cd Ⅷ² É1 x", "plain Words here", "", "① ②", "一二½三"):
+        assert L.letter_runs(t) == L.WORD.findall(t.lower())
+
+
 def test_document_scores_against_brute_force(spark):
     model = tiny()
     texts = ["the hund and cat", "½ ² ①", "der the", "a"]
