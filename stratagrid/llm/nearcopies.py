@@ -3,14 +3,17 @@
 Candidates come from 64-bit SimHash fingerprints (those at up to three bits, by the multi-index
 of simhash.py) and from min-hash bands: a fingerprint weighs repeated shingles, so pairs at 0.8
 stand at up to 17 of 64 bits and no radius that a multi-index can enumerate meets them. Texts
-that share a band's least hashes are a bucket; at the default 16 bands of 4 a pair at 0.8 shares
-one with probability 0.9998, more above. Every candidate is compared by its exact shingle sets,
-so only pairs that are similar enough are linked. Groups are the connected components.
-
-Buckets of up to `whole` texts are compared pair by pair. In a larger one, each text is compared
-with one leader a band; after the components of these links, each text outside the bucket's
-largest component is compared with all texts of the others. What is left out joins texts that
-are linked already, so the components are those of all pairs that share a bucket.
+that share a band's least hashes are a bucket; at the default 48 bands of 8 a pair at 0.8 shares
+one with probability 0.9998, more above, and a pair at 0.5 with 0.17. Every candidate is compared
+by its exact shingle sets, so only pairs that are similar enough are linked. Groups are the
+connected components.
+
+In each bucket, each text is compared with one leader; in the next rounds, those that are not in
+the leader's component with a leader of their own. Texts of a bucket that are in different
+components after that are compared pair by pair. What is left out joins texts that are linked
+already, so the components are those of all pairs that share a bucket. Pairs of the last step are
+first compared by one bit of each of 256 least hashes: a pair at the similarity asked for stays
+with probability 0.999996 (five deviations).
 
 Defined results: words are split at ASCII white space, ASCII letters lower-cased; texts of equal
 words are one; a text of up to five words is one shingle; a null text is an empty text; texts
@@ -24,15 +27,16 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import joined_by_key, small_batches, text_or_empty, written
 from stratagrid.llm.simhash import _LOWER, bits_over_half, components, near_links, one_of_each
 
-PRINTS = "doc_id long, text_hash long, node long, n long, fp long, bands array<long>"
+PRINTS = "doc_id long, text_hash long, node long, n long, fp long, bands array<long>, bits array<long>"
 SETS = "node long, shingles array<long>"
-_CHUNK = 2048
+_CHUNK = 512
+_BITS = 256
 
 
 def _hashes(text: str, words: int, seed: int) -> tuple[int, np.ndarray]:
@@ -51,37 +55,45 @@ def _hashes(text: str, words: int, seed: int) -> tuple[int, np.ndarray]:
 
 def _mixers(bands: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    draw = lambda *shape: rng.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return draw(bands * rows, 1), draw(bands * rows, 1), draw(rows)
+    draw = lambda bits, kind, *shape: rng.integers(0, 1 << (bits - 1), shape, dtype=kind) * kind(2) + kind(1)
+    return draw(32, np.uint32, bands * rows, 1), draw(32, np.uint32, bands * rows, 1), draw(64, np.uint64, bands, rows)
 
 
-def _band_keys(hashes: np.ndarray, bands: int, rows: int, mixers: tuple) -> np.ndarray:
+def _band_keys(hashes: np.ndarray, mixers: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band, and the sketch: one bit of each of the first least hashes."""
     turn, by, fold = mixers
-    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(hashes), _CHUNK):
-        least = np.minimum(least, ((hashes[None, i : i + _CHUNK] ^ turn) * by).min(axis=1))
-    return (least.reshape(bands, rows) * fold).sum(axis=1, dtype=np.uint64)
+    short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(len(turn), (1 << 32) - 1, np.uint32)
+    for i in range(0, len(short), _CHUNK):
+        mixed = short[None, i : i + _CHUNK] ^ turn
+        mixed *= by
+        np.minimum(least, mixed.min(axis=1), out=least)
+    bits = np.zeros(_BITS, bool)
+    bits[: len(least)] = least[:_BITS] >> np.uint32(5) & np.uint32(1)
+    return (least.reshape(fold.shape) * fold).sum(axis=1, dtype=np.uint64), np.packbits(bits).view(np.uint64)
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, text_hash, node (hash of the words), n (distinct shingles), fp and band keys of every row."""
+    """doc_id, text_hash, node (hash of the words), n (distinct shingles), fp, band keys and sketch of every row."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _mixers(bands, rows, seed)
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), signed(np.concatenate(x) if x else []))
         for b in batches:
-            nodes, sizes, fps, keys = [], [], [], []
+            nodes, sizes, fps, keys, bits = [], [], [], [], []
             for t in b.column(2):
                 node, hashes = _hashes(t.as_py(), words, seed)
+                once = np.unique(hashes)
                 nodes.append(node)
-                sizes.append(len(np.unique(hashes)))
+                sizes.append(len(once))
                 fps.append(bits_over_half(hashes.astype(">u8").tobytes(), len(hashes)) if len(hashes) else 0)
-                keys.append(_band_keys(hashes, bands, rows, mixers))
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            flat = signed(np.concatenate(keys) if keys else [])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(nodes), pa.array(sizes, pa.int64()), signed(fps), lists], ["doc_id", "text_hash", "node", "n", "fp", "bands"])
+                of_bands, sketch = _band_keys(once, mixers)
+                keys.append(of_bands)
+                bits.append(sketch)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(nodes), pa.array(sizes, pa.int64()), signed(fps), lists(keys), lists(bits)], ["doc_id", "text_hash", "node", "n", "fp", "bands", "bits"])
 
     return source.mapInArrow(work, PRINTS)
 
@@ -106,12 +118,30 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int,
     return texts.join(wanted, "text_hash", "left_semi").select("text").mapInArrow(work, SETS).dropDuplicates(["node"])
 
 
-def _pair(a: DataFrame, b: DataFrame, on: list[str], similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes that stand together, without those whose sizes alone rule them out."""
-    pairs = a.select(*on, F.col("node").alias("a"), F.col("n").alias("na"), *[c for c in a.columns if c == "root"]).join(
-        b.select(*on, F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias("root_b") for c in b.columns if c == "root"]), on
-    )
-    return pairs.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9))
+def _sizes_fit(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def _sketches_fit(a: str, b: str, similarity: float) -> Column:
+    """Whether the sketches differ in no more bits than five deviations over what the similarity makes expect."""
+    p = (1 - similarity) / 2
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, _BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return differ <= _BITS * p + 5 * (_BITS * p * (1 - p)) ** 0.5
+
+
+def _with_leader(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket (key) and its leader; members of other roots than the main one lead first."""
+    of = Window.partitionBy("key")
+    led = members.withColumn("leader", F.min(F.struct((F.col("root") == F.col("main")).alias("last"), F.xxhash64("node").alias("h"), "node", "n", "root")).over(of))
+    return led.where((F.col("root") != F.col("leader.root")) & _sizes_fit("n", "leader.n", similarity)).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+
+
+def _open_buckets(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, node, n, root and main (the most frequent root) of the buckets with more than one root."""
+    rooted = buckets.select("key", "node", "n").join(groups, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    of = rooted.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+    return rooted.join(of.select("key", F.col("m.root").alias("main")), "key")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -128,44 +158,42 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, text_col: str, found: DataFrame, *, words: int, similarity: float, whole: int, seed: int) -> DataFrame:
+def similar_groups(docs: DataFrame, text_col: str, found: DataFrame, *, words: int, similarity: float, rounds: int, seed: int) -> DataFrame:
     """(node, root) of the texts that have a similar other one; found has the prints."""
-    nodes = written(found.select("node", "text_hash", "n", "fp", "bands").dropDuplicates(["node"]), "nearcopy-nodes")
-    on = ["band", "key"]
-    of = Window.partitionBy(*on)
-    placed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    leader = F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node", "n")).over(of)
-    buckets = written(placed.withColumns({"size": F.count("*").over(of), "leader": leader}).where("size > 1"), "nearcopy-buckets")
-    small, large = buckets.where(F.col("size") <= whole), buckets.where(F.col("size") > whole)
-    led = large.where(F.col("node") != F.col("leader.node")).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("leader.node").alias("b"), F.col("leader.n").alias("nb"))
-    led = led.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    nodes = written(found.drop("doc_id").dropDuplicates(["node"]), "nearcopy-nodes")
+    of = Window.partitionBy("key")
+    buckets = written(nodes.select("node", "n", F.explode("bands").alias("key")).withColumn("size", F.count("*").over(of)).where("size > 1").drop("size"), "nearcopy-buckets")
+    similar = lambda pairs: _similar(_ordered(pairs), nodes, docs, text_col, words, similarity, seed)
     # fingerprints: one node stands for all that share one
     first = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "nearcopy-fps")
     near = near_links(first).join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = _pair(small, small, on, similarity).where("a < b").select("a", "b").union(led.select("a", "b")).union(near)
-    links = written(_similar(_ordered(pairs), nodes, docs, text_col, words, similarity, seed), "nearcopy-links")
-    groups = written(components(links, "nearcopy-components"), "nearcopy-groups")
-    if large.isEmpty():
+    pairs = _with_leader(buckets.withColumns({"root": F.col("node"), "main": F.lit(None).cast("long")}), similarity).union(near)
+    links = written(similar(pairs), "nearcopy-links")
+    for k in range(1, rounds + 1):
+        groups = written(components(links, "nearcopy-components"), "nearcopy-groups")
+        buckets = written(_open_buckets(buckets, groups), "nearcopy-open")
+        if k == rounds or buckets.isEmpty():
+            break
+        links = written(links.union(similar(_with_leader(buckets, similarity))), "nearcopy-links")
+    if buckets.isEmpty():
         return groups
-    # large buckets that hold more than one group: all pairs of different groups
-    rooted = large.select("node", "n", *on).join(groups, "node", "left").select("node", "n", *on, F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "nearcopy-large")
-    most = rooted.groupBy(*on, "root").agg(F.count("*").alias("k")).groupBy(*on).agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
-    rest = rooted.join(most.select(*on, F.col("m.root").alias("main")), on)
-    more = _pair(rest.where("root != main").drop("main"), rest.drop("main"), on, similarity).where("root != root_b").select("a", "b")
-    more = _similar(_ordered(more), nodes, docs, text_col, words, similarity, seed)
+    rest = written(buckets.join(nodes.select("node", "bits"), "node"), "nearcopy-rest")
+    side = lambda s: rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "main", "bits")])
+    apart = (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
+    more = side("a").join(side("b").drop("main_b"), "key").where(apart & _sizes_fit("n_a", "n_b", similarity) & _sketches_fit("bits_a", "bits_b", similarity))
+    more = similar(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     return components(links.union(more), "nearcopy-components")
 
 
 def drop_near_copies(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4, whole: int = 16, seed: int = 42
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 48, rows: int = 8, rounds: int = 3, seed: int = 42
 ) -> DataFrame:
     """The documents with one of each group kept: that of the least id (nulls last), then least text hash.
 
     Columns are those of docs. Rows that repeat the kept id and text are dropped too.
     """
     found = written(prints(docs, id_col, text_col, words, bands, rows, seed), "nearcopy-prints")
-    groups = similar_groups(docs, text_col, found, words=words, similarity=similarity, whole=whole, seed=seed)
+    groups = similar_groups(docs, text_col, found, words=words, similarity=similarity, rounds=rounds, seed=seed)
     classes = found.groupBy("node").agg(F.count("*").alias("n")).join(groups, "node", "left").select("node", "n", F.coalesce("root", "node").alias("c"))
     of = joined_by_key(found.select("doc_id", "text_hash", "node"), written(classes, "nearcopy-classes"), "node", "n")
     return one_of_each(docs, of, ["c"], id_col, text_col)
