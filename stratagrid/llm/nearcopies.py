@@ -148,12 +148,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float, seed: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
-    pairs = written(pairs, "nearcopy-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("text_hash")
-    sets = written(_shingle_sets(docs, wanted, text_col, words, seed), "nearcopy-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = _ordered(pairs).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
@@ -163,25 +160,28 @@ def similar_groups(docs: DataFrame, text_col: str, found: DataFrame, *, words: i
     nodes = written(found.drop("doc_id").dropDuplicates(["node"]), "nearcopy-nodes")
     of = Window.partitionBy("key")
     buckets = written(nodes.select("node", "n", F.explode("bands").alias("key")).withColumn("size", F.count("*").over(of)).where("size > 1").drop("size"), "nearcopy-buckets")
-    similar = lambda pairs: _similar(_ordered(pairs), nodes, docs, text_col, words, similarity, seed)
     # fingerprints: one node stands for all that share one
     first = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "nearcopy-fps")
     near = near_links(first).join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = written(near, "nearcopy-near")
+    # the shingle sets of all texts that are in some pair, made once
+    wanted = buckets.select("node").union(near.select("a")).union(near.select("b")).distinct().join(nodes, "node").select("text_hash")
+    sets = written(_shingle_sets(docs, wanted, text_col, words, seed), "nearcopy-sets")
     pairs = _with_leader(buckets.withColumns({"root": F.col("node"), "main": F.lit(None).cast("long")}), similarity).union(near)
-    links = written(similar(pairs), "nearcopy-links")
+    links = written(_similar(pairs, sets, similarity), "nearcopy-links")
     for k in range(1, rounds + 1):
         groups = written(components(links, "nearcopy-components"), "nearcopy-groups")
         buckets = written(_open_buckets(buckets, groups), "nearcopy-open")
         if k == rounds or buckets.isEmpty():
             break
-        links = written(links.union(similar(_with_leader(buckets, similarity))), "nearcopy-links")
+        links = written(links.union(_similar(_with_leader(buckets, similarity), sets, similarity)), "nearcopy-links")
     if buckets.isEmpty():
         return groups
     rest = written(buckets.join(nodes.select("node", "bits"), "node"), "nearcopy-rest")
     side = lambda s: rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "main", "bits")])
     apart = (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
     more = side("a").join(side("b").drop("main_b"), "key").where(apart & _sizes_fit("n_a", "n_b", similarity) & _sketches_fit("bits_a", "bits_b", similarity))
-    more = similar(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    more = _similar(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets, similarity)
     return components(links.union(more), "nearcopy-components")
 
 
