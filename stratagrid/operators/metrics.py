@@ -62,7 +62,7 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFr
     """keys, rmse, r2, d2 (power 1), rmsle, nrmse_sd/mean/minmax/iqr, ccc: two grouped passes."""
     a, b = F.col(y), F.col(p)
     mean = _group(df, keys).agg(F.avg(a).alias("_mean"))
-    both = df.join(F.broadcast(mean), keys) if keys else df.crossJoin(F.broadcast(mean))
+    both = df.join(mean, keys) if keys else df.crossJoin(F.broadcast(mean))
     g = _group(both, keys).agg(
         F.sqrt(F.avg((a - b) * (a - b))).alias("rmse"),
         F.sum((a - b) * (a - b)).alias("_res"),
