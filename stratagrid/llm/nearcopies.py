@@ -12,8 +12,9 @@ In each bucket, each text is compared with one leader; in the next rounds, those
 the leader's component with a leader of their own. Texts of a bucket that are in different
 components after that are compared pair by pair. What is left out joins texts that are linked
 already, so the components are those of all pairs that share a bucket. Pairs of the last step are
-first compared by one bit of each of 256 least hashes: a pair at the similarity asked for stays
-with probability 0.999996 (five deviations).
+first compared by four bits of each least hash: a pair at the similarity asked for stays unless
+more hashes differ than five deviations over what that similarity makes expect. A pair that
+shares several buckets is taken in the one of the least key only.
 
 Defined results: words are split at ASCII white space, ASCII letters lower-cased; texts of equal
 words are one; a text of up to five words is one shingle; a null text is an empty text; texts
@@ -23,6 +24,7 @@ without words are equal to each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -36,7 +38,7 @@ from stratagrid.llm.simhash import _LOWER, bits_over_half, components, near_link
 PRINTS = "doc_id long, text_hash long, node long, n long, fp long, bands array<long>, bits array<long>"
 SETS = "node long, shingles array<long>"
 _CHUNK = 512
-_BITS = 256
+_PLANES = 4
 
 
 def _hashes(text: str, words: int, seed: int) -> tuple[int, np.ndarray]:
@@ -60,7 +62,7 @@ def _mixers(bands: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _band_keys(hashes: np.ndarray, mixers: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each band, and the sketch: one bit of each of the first least hashes."""
+    """A key for each band, and the sketch: four bits of each least hash, a plane of 64-bit words for each of the four."""
     turn, by, fold = mixers
     short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(len(turn), (1 << 32) - 1, np.uint32)
@@ -68,8 +70,8 @@ def _band_keys(hashes: np.ndarray, mixers: tuple) -> tuple[np.ndarray, np.ndarra
         mixed = short[None, i : i + _CHUNK] ^ turn
         mixed *= by
         np.minimum(least, mixed.min(axis=1), out=least)
-    bits = np.zeros(_BITS, bool)
-    bits[: len(least)] = least[:_BITS] >> np.uint32(5) & np.uint32(1)
+    bits = np.zeros((_PLANES, -(-len(least) // 64) * 64), bool)
+    bits[:, : len(least)] = least >> np.arange(5, 5 + _PLANES, dtype=np.uint32)[:, None] & np.uint32(1)
     return (least.reshape(fold.shape) * fold).sum(axis=1, dtype=np.uint64), np.packbits(bits).view(np.uint64)
 
 
@@ -123,11 +125,13 @@ def _sizes_fit(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def _sketches_fit(a: str, b: str, similarity: float) -> Column:
-    """Whether the sketches differ in no more bits than five deviations over what the similarity makes expect."""
-    p = (1 - similarity) / 2
-    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, _BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-    return differ <= _BITS * p + 5 * (_BITS * p * (1 - p)) ** 0.5
+def _sketches_fit(a: str, b: str, similarity: float, hashes: int) -> Column:
+    """Whether no more least hashes differ in the sketches than five deviations over what the similarity makes expect."""
+    words = -(-hashes // 64)
+    p = (1 - similarity) * (1 - 0.5**_PLANES)
+    apart = lambda i: reduce(Column.bitwiseOR, [F.col(a)[k].bitwiseXOR(F.col(b)[k]) for k in range(i, _PLANES * words, words)])
+    differ = reduce(Column.__add__, [F.bit_count(apart(i)) for i in range(words)])
+    return differ <= hashes * p + 5 * (hashes * p * (1 - p)) ** 0.5
 
 
 def _with_leader(members: DataFrame, similarity: float) -> DataFrame:
@@ -155,8 +159,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, text_col: str, found: DataFrame, *, words: int, similarity: float, rounds: int, seed: int) -> DataFrame:
-    """(node, root) of the texts that have a similar other one; found has the prints."""
+def similar_groups(docs: DataFrame, text_col: str, found: DataFrame, *, words: int, similarity: float, hashes: int, rounds: int, seed: int) -> DataFrame:
+    """(node, root) of the texts that have a similar other one; found has the prints of so many hashes."""
     nodes = written(found.drop("doc_id").dropDuplicates(["node"]), "nearcopy-nodes")
     of = Window.partitionBy("key")
     buckets = written(nodes.select("node", "n", F.explode("bands").alias("key")).withColumn("size", F.count("*").over(of)).where("size > 1").drop("size"), "nearcopy-buckets")
@@ -177,10 +181,11 @@ def similar_groups(docs: DataFrame, text_col: str, found: DataFrame, *, words: i
         links = written(links.union(_similar(_with_leader(buckets, similarity), sets, similarity)), "nearcopy-links")
     if buckets.isEmpty():
         return groups
-    rest = written(buckets.join(nodes.select("node", "bits"), "node"), "nearcopy-rest")
-    side = lambda s: rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "main", "bits")])
+    rest = written(buckets.join(nodes.select("node", "bits", "bands"), "node"), "nearcopy-rest")
+    side = lambda s: rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "bits", "bands")])
     apart = (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
-    more = side("a").join(side("b").drop("main_b"), "key").where(apart & _sizes_fit("n_a", "n_b", similarity) & _sketches_fit("bits_a", "bits_b", similarity))
+    here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
+    more = side("a").join(side("b"), "key").where(apart & _sizes_fit("n_a", "n_b", similarity) & _sketches_fit("bits_a", "bits_b", similarity, hashes) & here)
     more = _similar(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets, similarity)
     return components(links.union(more), "nearcopy-components")
 
@@ -193,7 +198,7 @@ def drop_near_copies(
     Columns are those of docs. Rows that repeat the kept id and text are dropped too.
     """
     found = written(prints(docs, id_col, text_col, words, bands, rows, seed), "nearcopy-prints")
-    groups = similar_groups(docs, text_col, found, words=words, similarity=similarity, rounds=rounds, seed=seed)
+    groups = similar_groups(docs, text_col, found, words=words, similarity=similarity, hashes=bands * rows, rounds=rounds, seed=seed)
     classes = found.groupBy("node").agg(F.count("*").alias("n")).join(groups, "node", "left").select("node", "n", F.coalesce("root", "node").alias("c"))
     of = joined_by_key(found.select("doc_id", "text_hash", "node"), written(classes, "nearcopy-classes"), "node", "n")
     return one_of_each(docs, of, ["c"], id_col, text_col)
