@@ -80,6 +80,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stratagrid.llm.tokencount import with_token_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
