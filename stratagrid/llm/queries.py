@@ -80,6 +80,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratagrid.llm.sortmeans import sort_means
+
+    return sort_means(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +106,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from stratagrid.llm import linededup
+    from stratagrid.llm import collocations, linededup
 
-    return {"op3_site_lines": linededup.report_sql()}
+    return {"op3_site_lines": linededup.report_sql(), "op11_collocations": collocations.report_sql()}

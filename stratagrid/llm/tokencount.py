@@ -43,7 +43,7 @@ STRIDE = 1 << 20
 # Fixed value: the pre-token pattern of the byte-level tokenizer.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters that one Unicode version has and another has not: texts with them are left to the library.
-RECENT = regex.compile("[՘֋֌࢏౜೜₉-₟ꟈ-ꟿ꭬꭭\U00010000-\U0001cfff\U0001d000-\U0001efff\U0001fb00-\U0010ffff]")
+RECENT = regex.compile(r"[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u2089-\u209f\ua7c8-\ua7ff\uab6c\uab6d\U00010000-\U0001cfff\U0001d000-\U0001efff\U0001fb00-\U0010ffff]")
 #: A single space between other characters begins a pre-token, so texts may be cut before it.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
 

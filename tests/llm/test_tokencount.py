@@ -89,7 +89,8 @@ def test_summaries_keep_the_frequent_pieces(spark):
     words = [f"w{k}" for k in range(300) for _ in range(300 - k)]
     random.Random(2).shuffle(words)
     df = spark.createDataFrame([(" ".join(words[k : k + 90]),) for k in range(0, len(words), 90)], "text string").repartition(40)
-    exact = Counter(p for r in df.collect() for part in T.PreTokens(JSON).pieces(r["text"]) for p in part)
+    pre = T.PreTokens(JSON)
+    exact = Counter(p for r in df.collect() for part in pre.pieces(r["text"]) for p in part)
     total, got = sum(exact.values()), T.frequent_pieces(df, JSON, entries=128)
     assert len(got) <= 128
     for p, n in exact.items():
