@@ -146,7 +146,7 @@ FORMS = (
     (r"^(?:this|these|the|all|our) (?:[a-z0-9]+ ){1,4}?(?:is|are) (?:also |hereby |dual )?(?=(?:licensed|released|distributed|published|provided|made available|available) under )", ""),
     (r"^(?:licensed|released|distributed|published|provided|made available|available) under (?:the terms of )?(?:the |a )?", "licensed under "),
     (r"^(licensed under .*?) (?:see|as found in) (?:the )?(?:accompanying |file )?(?:license|licence|copying)(?: file| txt| md)?(?: .*)?$", "$1"),
-    (r"^(?!licensed under )(?:the )?((?:[a-z0-9]+ )*licen[sc]e(?: mit)?)$", "licensed under $1"),
+    (r"^(?!licensed under )(?:the )?((?:[a-z0-9 ]* )?licen[sc]e(?: mit)?)$", "licensed under $1"),
 )
 CUES = ("licens", "permission", "warrant", "copyright", "redistribut")
 SPLIT = "[.!?;:]+(?:[ \\t\\r\\n\\f]+|$)|\\n+"

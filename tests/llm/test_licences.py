@@ -96,3 +96,11 @@ def test_sentences_that_name_a_licence(spark):
     }
     got = L.licence_report(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
     assert {list(cases)[r["doc_id"]]: r["licences"] for r in got} == cases
+
+
+def test_sentences_of_any_length_with_a_cue(spark):
+    filler = "word " * 20_000
+    texts = ["license " + filler, filler + "license " + filler, filler + "the license", "copyright " + filler + "licensed under the MIT license", "This " + "licence " * 20_000 + "is licensed under x", "the mit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in L.licence_report(df).collect()}
+    assert got == {0: "", 1: "", 2: "", 3: "MIT", 4: "", 5: "MIT"}
