@@ -1,7 +1,7 @@
 """Geometry without a geometry library: areas, point in polygon, rasterising, projection, tiles, proximity.
 
-Polygons are arrays of rings, a ring an array of (x, y), the first ring the outer one; even-odd
-rule. Joins of points and polygons go through grid cells: an equi-join on the cell, then the
+Polygons are arrays of rings, a ring an array of (x, y), closed or open; even-odd rule, so a polygon
+may have several parts, and holes, in any order. Joins of points and polygons go through grid cells: an equi-join on the cell, then the
 exact test, so no plan compares all pairs.
 """
 
@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratagrid.session import free_name
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -22,30 +24,110 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(cross, F.lit(0.0), lambda a, c: a + c) / 2
 
 
+def ring_holds(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a ring goes around a point (even-odd rule; a point on an edge may fall on either side)."""
+    n = F.size(ring)
+
+    def crosses(p: Column, i: Column) -> Column:
+        q = F.get(ring, (i + 1) % n)
+        return F.when((p["y"] > y) != (q["y"] > y), (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]).cast("int")).otherwise(0)
+
+    return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, c: a + c) % 2 == 1
+
+
+def with_depths(rings: Column) -> Column:
+    """Rings as (ring, depth): how many of the others go around each. Even depths are outer rings of parts, odd ones holes.
+
+    Depths are taken at the middle of a ring's first edge, as rings may touch in their vertices.
+    """
+
+    def one(ring: Column, k: Column) -> Column:
+        p, q = F.get(ring, 0), F.get(ring, 1)
+        x, y = (p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2
+        return F.struct(ring.alias("ring"), F.size(F.filter(rings, lambda r, j: (j != k) & ring_holds(r, x, y))).alias("depth"))
+
+    return F.transform(F.filter(rings, lambda r: F.size(r) > 2), one)
+
+
 def polygon_area(rings: Column) -> Column:
-    """Area of the outer ring less the holes."""
-    areas = F.transform(rings, lambda r: F.abs(ring_area(r)))
-    return F.aggregate(areas, F.lit(0.0), lambda a, c: a + c) * -1 + 2 * F.get(areas, 0)
+    """Area of all parts less their holes, in whatever order and direction the rings come."""
+    return F.aggregate(with_depths(rings), F.lit(0.0), lambda a, r: a + F.abs(ring_area(r["ring"])) * (1 - 2 * (r["depth"] % 2)))
 
 
-def point_in_polygon(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd rule; a point on an edge may fall on either side."""
+def parts_of(rings: Column) -> Column:
+    """A polygon's parts: an array of rings each, the outer ring first, then the holes in it."""
+
+    def split(found: Column) -> Column:
+        def one(outer: Column) -> Column:
+            p = lambda r: F.get(r["ring"], 0)
+            mid = lambda r: ((p(r)["x"] + F.get(r["ring"], 1)["x"]) / 2, (p(r)["y"] + F.get(r["ring"], 1)["y"]) / 2)
+            holes = F.filter(found, lambda h: (h["depth"] == outer["depth"] + 1) & ring_holds(outer["ring"], *mid(h)))
+            return F.concat(F.array(outer["ring"]), F.transform(holes, lambda h: h["ring"]))
+
+        return F.transform(F.filter(found, lambda r: r["depth"] % 2 == 0), one)
+
+    return F.get(F.transform(F.array(with_depths(rings)), split), 0)
+
 
-    def crossings(ring: Column) -> Column:
-        n = F.size(ring)
+def centroid(rings: Column) -> Column:
+    """struct(x, y): centre of mass of all parts without their holes; NULL where there is no area."""
 
-        def crosses(p: Column, i: Column) -> Column:
-            q = F.get(ring, (i + 1) % n)
-            return F.when((p["y"] > y) != (q["y"] > y), (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]).cast("int")).otherwise(0)
+    def moment(r: Column, c: str) -> Column:
+        ring, n = r["ring"], F.size(r["ring"])
+        nxt = lambda i: F.get(ring, (i + 1) % n)
+        terms = F.transform(ring, lambda p, i: (p[c] + nxt(i)[c]) * (p["x"] * nxt(i)["y"] - nxt(i)["x"] * p["y"]))
+        return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 6 * F.signum(ring_area(ring)) * (1 - 2 * (r["depth"] % 2))
 
-        return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, c: a + c)
+    def at(found: Column) -> Column:
+        area = F.nullif(F.aggregate(found, F.lit(0.0), lambda a, r: a + F.abs(ring_area(r["ring"])) * (1 - 2 * (r["depth"] % 2))), F.lit(0.0))
+        total = lambda c: F.aggregate(found, F.lit(0.0), lambda a, r: a + moment(r, c))
+        return F.struct((total("x") / area).alias("x"), (total("y") / area).alias("y"))
 
-    return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda a, c: a + c) % 2 == 1
+    return F.get(F.transform(F.array(with_depths(rings)), at), 0)
+
+
+def inner_point(rings: Column) -> Column:
+    """struct(x, y): a point inside, the middle of the widest stretch of the lines across the middle of each part's box.
+
+    Where a line runs through a vertex it is moved up, to half way to the next vertex.
+    """
+
+    def across(part: Column) -> Column:
+        b, heights = bounds(part), F.transform(F.flatten(part), lambda p: p["y"])
+        mid = (b["y0"] + b["y1"]) / 2
+        above = F.array_min(F.filter(heights, lambda h: h > mid))
+        return F.when(F.exists(heights, lambda h: h == mid), (mid + above) / 2).otherwise(mid)
+
+    def crossings(part: Column, y: Column) -> Column:
+        def of(ring: Column) -> Column:
+            n = F.size(ring)
+            edges = F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.get(ring, (i + 1) % n).alias("q")))
+            met = F.filter(edges, lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
+            return F.transform(met, lambda e: (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"])
+
+        return F.array_sort(F.flatten(F.transform(part, of)))
+
+    def spans(xs: Column, y: Column) -> Column:
+        pairs = F.filter(F.transform(xs, lambda x, k: F.struct((F.get(xs, k + 1) - x).alias("w"), ((F.get(xs, k + 1) + x) / 2).alias("x"), y.alias("y"), (k % 2).alias("odd"))), lambda s: (s["odd"] == 0) & s["w"].isNotNull())
+        return F.array_max(pairs)
+
+    def widest(part: Column) -> Column:
+        lines = F.transform(F.array(across(part)), lambda y: F.get(F.transform(F.array(crossings(part, y)), lambda xs: spans(xs, y)), 0))
+        return F.get(lines, 0)
+
+    best = F.array_max(F.transform(parts_of(rings), widest))
+    return F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y")))
+
+
+def point_in_polygon(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd rule; a point on an edge may fall on either side."""
+
+    return F.aggregate(F.transform(rings, lambda r: ring_holds(r, x, y).cast("int")), F.lit(0), lambda a, c: a + c) % 2 == 1
 
 
 def bounds(rings: Column) -> Column:
-    """struct(x0, y0, x1, y1) of the outer ring."""
-    r = F.get(rings, 0)
+    """struct(x0, y0, x1, y1) of all rings."""
+    r = F.flatten(rings)
     xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
@@ -93,15 +175,18 @@ def _edges_exist(ring: Column, test) -> Column:
 
 
 def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Whether the segments ab and cd cross or touch (general position: overlapping collinear ones meet at an end)."""
+    """Whether the segments ab and cd share a point: their boxes meet, and neither lies on one side of the other's line."""
     side = lambda p, q, r: F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
-    return (side(a, b, c) * side(a, b, d) <= 0) & (side(c, d, a) * side(c, d, b) <= 0) & (side(a, b, c).isNotNull())
+    box = F.lit(True)
+    for v in ("x", "y"):
+        box = box & (F.greatest(a[v], b[v]) >= F.least(c[v], d[v])) & (F.greatest(c[v], d[v]) >= F.least(a[v], b[v]))
+    return box & (side(a, b, c) * side(a, b, d) <= 0) & (side(c, d, a) * side(c, d, b) <= 0)
 
 
 def polygons_meet(a: Column, b: Column) -> Column:
-    """Whether two polygons share a point: edges that cross, or one within the other."""
-    one = lambda rings: F.get(F.get(rings, 0), 0)
-    inside = point_in_polygon(one(a)["x"], one(a)["y"], b) | point_in_polygon(one(b)["x"], one(b)["y"], a)
+    """Whether two polygons share a point: edges that cross, or a ring of one within the other."""
+    within = lambda rings, other: F.exists(rings, lambda r: point_in_polygon(F.get(r, 0)["x"], F.get(r, 0)["y"], other))
+    inside = within(a, b) | within(b, a)
     crossing = F.exists(a, lambda r: _edges_exist(r, lambda p, q: F.exists(b, lambda s: _edges_exist(s, lambda u, v: segments_meet(p, q, u, v)))))
     return inside | crossing
 
@@ -139,18 +224,22 @@ def rasterize(polygons: DataFrame, rings: str, res: float, all_touched: bool = F
 def burn_lines(lines: DataFrame, points: str, res: float) -> DataFrame:
     """lines with the cells (row, col) that they touch, each cell once a line; points is an array of (x, y).
 
-    Each segment stands in the cells of its own box only, so a long line is many small pieces.
+    Cells are those of each segment's own box that the segment meets; a line's cells are told
+    apart within its row, so nothing is shuffled and lines need no key.
     """
-    key = "_line"
     n = F.size(points)
     pairs = F.transform(F.slice(points, F.lit(1), n - 1), lambda p, i: F.struct(p.alias("p"), F.get(points, i + 1).alias("q")))
-    seg = lines.withColumn(key, F.monotonically_increasing_id()).withColumn("_s", F.explode(F.when(n > 1, pairs)))
-    p, q = F.col("_s.p"), F.col("_s.q")
-    box = F.struct(F.least(p["x"], q["x"]).alias("x0"), F.least(p["y"], q["y"]).alias("y0"), F.greatest(p["x"], q["x"]).alias("x1"), F.greatest(p["y"], q["y"]).alias("y1"))
-    c = seg.withColumn("_c", F.explode(cells_of_box(box, res)))
-    col, row = F.col("_c.cx"), F.col("_c.cy")
-    c = c.where(segment_meets_box(p, q, col * res, row * res, (col + 1) * res, (row + 1) * res)).withColumns({"row": row, "col": col}).drop("_c", "_s")
-    return c.dropDuplicates([key, "row", "col"]).drop(key)
+
+    def touched(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        box = F.struct(F.least(p["x"], q["x"]).alias("x0"), F.least(p["y"], q["y"]).alias("y0"), F.greatest(p["x"], q["x"]).alias("x1"), F.greatest(p["y"], q["y"]).alias("y1"))
+        met = F.filter(cells_of_box(box, res), lambda c: segment_meets_box(p, q, c["cx"] * res, c["cy"] * res, (c["cx"] + 1) * res, (c["cy"] + 1) * res))
+        # one whole number a cell: distinct numbers are found by hash
+        return F.transform(met, lambda c: c["cx"] * (1 << 32) + c["cy"] + (1 << 31))
+
+    cell = free_name(lines, "cell")
+    c = lines.withColumn(cell, F.explode(F.when(n > 1, F.array_distinct(F.flatten(F.transform(pairs, touched))))))
+    return c.withColumns({"row": F.col(cell).bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31), "col": F.shiftright(cell, 32)}).drop(cell)
 
 
 def tiles(x0: float, y0: float, x1: float, y1: float, size: float, spark) -> DataFrame:

@@ -108,3 +108,46 @@ def polygon_pairs(spark: SparkSession, sf: str) -> DataFrame:
     # a diamond of half width 0.7 against a square of half side 6: the sum of both shapes is an octagon
     diamonds = table(spark, sf, "part").select("p_partkey", F.array(F.array(at(-0.7, 0), at(0, -0.7), at(0.7, 0), at(0, 0.7))).alias("diamond"))
     return G.join_polygons(_squares(spark, sf), diamonds, "rings", "diamond", 8.0).select("s_suppkey", "p_partkey")
+
+
+# two parts and a hole for each supplier: a square of half side 6 with a diamond cut out, and a slanted square apart
+_PARTS = "WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS x, s_acctbal / 100 AS y, CAST(1 + s_suppkey % 3 AS DOUBLE) AS d FROM supplier)"
+
+
+def _parted(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7 % 90).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"), (1 + F.col("s_suppkey") % 3).cast("double").alias("d"))
+    at = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
+    d = F.col("d")
+    hole = F.array(at(-d, 0), at(0, -d), at(d, 0), at(0, d))
+    apart = F.array(at(30 + d, 0), at(30, d), at(30 - d, 0), at(30, -d), at(30 + d, 0))
+    square = F.get(G.envelope(F.col("x"), F.col("y"), 6.0), 0)
+    return s.select("s_suppkey", F.array(hole, apart, square).alias("rings"))
+
+
+@query("parted_area", f"{_PARTS} SELECT s_suppkey, round(144 - 2 * d * d + 2 * d * d, 6) AS area, round((x * (144 - 2 * d * d) + (x + 30) * 2 * d * d) / 144, 6) AS cx, round(y, 6) AS cy, 2::BIGINT AS parts, 3::BIGINT AS rings, round(36 + d - 2 * d, 6) AS reach FROM s")
+def parted_area(spark: SparkSession, sf: str) -> DataFrame:
+    p = _parted(spark, sf)
+    c, parts, b = G.centroid(F.col("rings")), G.parts_of(F.col("rings")), G.bounds(F.col("rings"))
+    return p.select(
+        "s_suppkey", F.round(G.polygon_area(F.col("rings")), 6).alias("area"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"), F.size(parts).cast("long").alias("parts"),
+        F.size(F.flatten(parts)).cast("long").alias("rings"), F.round(b["x1"] - b["x0"] - 2 * (F.col("s_suppkey") % 3 + 1), 6).alias("reach"),
+    )
+
+
+@query("parted_points", f"{_PARTS}, p AS (SELECT c_custkey, c_custkey % 127 + 0.5 AS px, c_acctbal / 100 AS py FROM customer) SELECT c_custkey, s_suppkey FROM p JOIN s ON (abs(px - x) < 6 AND abs(py - y) < 6 AND abs(px - x) + abs(py - y) > d) OR abs(px - x - 30) + abs(py - y) < d")
+def parted_points(spark: SparkSession, sf: str) -> DataFrame:
+    points = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 127 + 0.5).alias("px"), (F.col("c_acctbal") / 100).alias("py"))
+    return G.join_points_polygons(points, _parted(spark, sf), "px", "py", "rings", 8.0).select("c_custkey", "s_suppkey")
+
+
+@query("largest_part", f"{_PARTS} SELECT s_suppkey, round(greatest(1 / (6 * sqrt(2)), 1 / d), 6) AS inverse_radius FROM s")
+def largest_part(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _parted(spark, sf).select("s_suppkey", F.posexplode(G.parts_of(F.col("rings"))).alias("k", "part")).withColumn("key", F.col("s_suppkey") * 16 + F.col("k"))
+    circles = G.enclosing_radius(parts, "key", "part")
+    return circles.groupBy(F.expr("key div 16").alias("s_suppkey")).agg(F.round(F.max(1 / F.col("radius")), 6).alias("inverse_radius"))
+
+
+@query("inner_points", "SELECT s_suppkey, true AS inside FROM supplier")
+def inner_points(spark: SparkSession, sf: str) -> DataFrame:
+    p = _parted(spark, sf).withColumn("at", G.inner_point(F.col("rings")))
+    return p.select("s_suppkey", G.point_in_polygon(F.col("at.x"), F.col("at.y"), F.col("rings")).alias("inside"))

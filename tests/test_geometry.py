@@ -83,3 +83,42 @@ def test_segments_in_general_position(spark):
     p = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
     row = spark.range(1).select(G.segments_meet(p(0, 0), p(2, 2), p(0, 2), p(2, 0)), G.segments_meet(p(0, 0), p(1, 1), p(2, 2), p(3, 2.5))).first()
     assert row[0] is True and row[1] is False
+
+
+def segment(*ends):
+    return [F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ends]
+
+
+def test_segments_on_one_line(spark):
+    cases = {
+        ((0, 0), (1, 0), (5, 0), (6, 0)): False, ((0, 0), (1, 0), (1, 0), (2, 0)): True, ((0, 0), (4, 0), (1, 0), (2, 0)): True, ((0, 0), (3, 3), (2, 2), (5, 5)): True, ((0, 0), (1, 1), (2, 2), (3, 3)): False,
+        ((1, 1), (1, 1), (0, 0), (2, 2)): True, ((3, 3), (3, 3), (0, 0), (2, 2)): False, ((1, 1), (1, 1), (1, 1), (1, 1)): True, ((0, 0), (0, 2), (-1, 1), (1, 1)): True, ((0, 0), (0, 2), (0.5, 1), (1, 1)): False,
+    }
+    got = spark.range(1).select(*[G.segments_meet(*segment(*c)).alias(f"c{k}") for k, c in enumerate(cases)]).first()
+    assert list(got) == list(cases.values())
+
+
+def test_closed_and_touching_polygons(spark):
+    ring = lambda x, y, s=1.0: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    closed = lambda r: [*r, r[0]]
+    a = [[ring(0, 0)], [closed(ring(0, 0))], [ring(0, 0, 9.0), ring(3, 3, 3.0)], [ring(0, 0), closed(ring(7, 7))]]
+    b = [[closed(ring(3, 0))], [ring(1, 0)], [closed(ring(1, 1))], [ring(4, 4)], [ring(7.2, 7.2, 0.1)], [closed(ring(20, 0))]]
+    left = spark.createDataFrame([(i, shape(s)) for i, s in enumerate(a)], f"i int, a {G.RINGS}")
+    right = spark.createDataFrame([(j, shape(t)) for j, t in enumerate(b)], f"j int, b {G.RINGS}")
+    want = {(0, 1), (0, 2), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (2, 4), (3, 1), (3, 2), (3, 4)}
+    for size in (0.7, 5.0, 100.0):
+        got = [(r["i"], r["j"]) for r in G.join_polygons(left, right, "a", "b", size).select("i", "j").collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_parts_holes_and_islands(spark):
+    ring = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    cases = [([ring(0, 0, 1), ring(5, 5, 1)], 2.0, 2, (3.0, 3.0)), ([ring(4, 4, 2), ring(0, 0, 10), ring(1, 1, 8)], 100 - 64 + 4, 2, (5.0, 5.0)), ([ring(0, 0, 2)[::-1] + [(0, 2)]], 4.0, 1, (1.0, 1.0))]
+    df = spark.createDataFrame([(k, shape(c[0])) for k, c in enumerate(cases)], f"k int, rings {G.RINGS}")
+    r = F.col("rings")
+    at = G.inner_point(r)
+    for row in df.select("k", G.polygon_area(r).alias("area"), F.size(G.parts_of(r)).alias("parts"), G.centroid(r).alias("c"), G.point_in_polygon(at["x"], at["y"], r).alias("inside"), G.bounds(r).alias("b")).collect():
+        _, area, parts, (x, y) = cases[row["k"]]
+        assert (row["area"], row["parts"], row["inside"]) == (area, parts, True) and abs(row["c"]["x"] - x) + abs(row["c"]["y"] - y) < 1e-9
+    assert tuple(df.where("k = 0").select(G.bounds(r).alias("b")).first()["b"]) == (0.0, 0.0, 6.0, 6.0)
+    assert spark.createDataFrame([([],)], f"rings {G.RINGS}").select(G.polygon_area(r), G.centroid(r)["x"]).first()[:] == (0.0, None)
