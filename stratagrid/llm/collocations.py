@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from stratagrid.llm.common import discard, scratch
 
 #: Words of a block.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Bytes of a text that are cut up at a time.
 STRIDE = 4 << 20
 UNKNOWN = "und"
