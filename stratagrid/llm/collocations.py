@@ -35,6 +35,8 @@ from stratagrid.llm.common import discard, scratch
 BLOCK_WORDS = 1 << 19
 #: Bytes of a text that are cut up at a time.
 STRIDE = 4 << 20
+#: Parts of a language that are ranked apart first.
+PARTS = 32
 UNKNOWN = "und"
 #: A-Z in lower case, piece ends as a byte that UTF-8 has not, tab as space.
 ENDS, MARK = b".,;:!?\n\x0b\x0c\r", b"\xff"
@@ -271,8 +273,11 @@ def collocations(
     shorter = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: _part(words, i, m))))
     around = found.where("size > 2").select("lang", F.explode(shorter).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # the best of a language are among the best of its parts, so no task ranks more than `top` of each part
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    best = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", part.alias("part")).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
