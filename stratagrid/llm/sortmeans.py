@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import discard, scratch
@@ -127,6 +127,6 @@ def sort_means(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     digests = [(j, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for j, c in enumerate(centroids)]
     each = table.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
     # both sides have at most k rows
-    facts = each.crossJoin(each.agg(F.sum("cluster_inertia").alias("inertia"))).join(spark.createDataFrame(digests, "cluster int, centroid_sha256 string"), "cluster")
+    facts = each.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy(F.lit(0)))).join(spark.createDataFrame(digests, "cluster int, centroid_sha256 string"), "cluster")
     out = table.select(F.col("id").alias(id_col), "cluster", "distance").join(F.broadcast(facts), "cluster")
     return out.select(id_col, "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
