@@ -70,10 +70,10 @@ def feature_union(spark: SparkSession, sf: str) -> DataFrame:
     return o.where("o_totalprice > 250000").select(name).union(o.where("o_orderstatus = 'P'").select(name)).distinct()
 
 
-@query("day_of_year", "SELECT CAST(m AS INT) AS month, CAST(dayofyear(make_date(2000, m, 15)) AS INT) AS doy FROM range(1, 13) AS r(m)")
+@query("day_of_year", "SELECT DISTINCT CAST(month(o_orderdate) AS INT) AS month, CAST(dayofyear(make_date(2000, month(o_orderdate), 15)) AS INT) AS doy FROM orders")
 def day_of_year(spark: SparkSession, sf: str) -> DataFrame:
-    m = F.col("id").cast("int")
-    return spark.range(1, 13).select(m.alias("month"), F.dayofyear(F.make_date(F.lit(2000), m, F.lit(15))).alias("doy"))
+    months = table(spark, sf, "orders").select(F.month("o_orderdate").alias("month")).distinct()
+    return months.select("month", F.dayofyear(F.make_date(F.lit(2000), "month", F.lit(15))).alias("doy"))
 
 
 _GRID = "SELECT DISTINCT CAST(l_quantity AS BIGINT) AS row, l_partkey % 60 AS col FROM lineitem"

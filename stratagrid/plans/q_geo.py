@@ -43,9 +43,14 @@ def tile_of_point(spark: SparkSession, sf: str) -> DataFrame:
     return G.join_points_tiles(_points(spark, sf), "x", "y", 0.0, 100.0, 10.0, 10).select("c_custkey", "tile_id")
 
 
-@query("tile_index", "SELECT t AS tile_id, -180.0 + (t % 36) * 10 AS x0, 90.0 - (t // 36 + 1) * 10 AS y0, -180.0 + (t % 36 + 1) * 10 AS x1, 90.0 - (t // 36) * 10 AS y1 FROM range(648) AS r(t)")
+@query(
+    "tile_index",
+    "WITH p AS (SELECT CAST(floor((90 - c_acctbal % 40) / 10) * 36 + floor((c_custkey % 360 + 0.5) / 10) AS BIGINT) AS tile_id FROM customer), n AS (SELECT tile_id, count(*) AS n FROM p GROUP BY 1) SELECT t AS tile_id, -180.0 + (t % 36) * 10 AS x0, 90.0 - (t // 36 + 1) * 10 AS y0, -180.0 + (t % 36 + 1) * 10 AS x1, 90.0 - (t // 36) * 10 AS y1, coalesce(n, 0) AS n FROM range(648) AS r(t) LEFT JOIN n ON tile_id = t",
+)
 def tile_index(spark: SparkSession, sf: str) -> DataFrame:
-    return G.tiles(-180.0, -90.0, 180.0, 90.0, 10.0, spark)
+    places = table(spark, sf, "customer").select((F.col("c_custkey") % 360 - 179.5).alias("x"), (F.col("c_acctbal") % 40).alias("y"))
+    counts = G.join_points_tiles(places, "x", "y", -180.0, 90.0, 10.0, 36).groupBy("tile_id").agg(F.count("*").alias("n"))
+    return G.tiles(-180.0, -90.0, 180.0, 90.0, 10.0, spark).join(counts, "tile_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query(
