@@ -55,11 +55,13 @@ class LayerReader(DataSourceReader):
         quoted = '"' + partition.layer.replace('"', '""') + '"'
         with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as c:
             geom = c.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (partition.layer,)).fetchone()[0]
+            # the feature id is the integer primary key, whatever its name
+            keys = [r[1] for r in c.execute(f"PRAGMA table_info({quoted})") if r[5] == 1 and r[2].upper() == "INTEGER"]
             rows = c.execute(f"SELECT * FROM {quoted}")
             names = [d[0] for d in rows.description]
             for k, row in enumerate(rows):
                 v = dict(zip(names, row, strict=True))
-                blob, fid = v.pop(geom), v.pop("fid", k + 1)
+                blob, fid = v.pop(geom), v.pop(keys[0]) if keys else k + 1
                 yield partition.path, partition.layer, fid, {n: None if x is None else str(x) for n, x in v.items()}, wkb_of(blob)
 
 

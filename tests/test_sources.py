@@ -46,6 +46,20 @@ def test_geopackage_layers_and_fallback(spark, tmp_path):
     assert [(r["layer"], r["fid"]) for r in one] == [("ADM1", 7)]
 
 
+def test_geopackage_key_of_any_name(spark, tmp_path):
+    vector.register(spark)
+    path = str(tmp_path / "k.gpkg")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT)")
+        c.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+        c.execute("CREATE TABLE a (OGC_ID INTEGER PRIMARY KEY, geom BLOB, fid TEXT)")
+        c.execute("INSERT INTO gpkg_contents VALUES ('a', 'features')")
+        c.execute("INSERT INTO gpkg_geometry_columns VALUES ('a', 'geom')")
+        c.execute("INSERT INTO a VALUES (41, NULL, 'text')")
+    row = spark.read.format("gpkg").load(path).first()
+    assert (row["fid"], row["properties"], row["wkb"]) == (41, {"fid": "text"}, None)
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, 2000, 1.0), (2, 2000, float("nan")), (3, 2001, 2.0)], "k int, year int, v double")
     root = str(tmp_path / "p")
