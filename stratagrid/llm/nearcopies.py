@@ -12,9 +12,13 @@ In each bucket, each text is compared with one leader; in the next rounds, those
 the leader's component with a leader of their own. Texts of a bucket that are in different
 components after that are compared pair by pair. What is left out joins texts that are linked
 already, so the components are those of all pairs that share a bucket. Pairs of the last step are
-first compared by four bits of each least hash: a pair at the similarity asked for stays unless
-more hashes differ than five deviations over what that similarity makes expect. A pair that
-shares several buckets is taken in the one of the least key only.
+first compared by parity sketches: 4,096 bits, each the parity of the shingles that fall on it.
+Every shingle that only one of two texts has turns one bit, so the bits that differ are no more
+than those shingles, and no pair at the similarity asked for is lost. Texts of over 4,096 shingles
+fill these bits; pairs of such texts are compared by four bits of each least hash instead, and stay
+unless more hashes differ than five deviations over what the similarity makes expect. A pair that
+shares several buckets is taken in the one of the least key only, and large buckets are dealt into
+parts, so no task holds all pairs of one.
 
 Defined results: words are split at ASCII white space, ASCII letters lower-cased; texts of equal
 words are one; a text of up to five words is one shingle; a null text is an empty text; texts
@@ -35,10 +39,12 @@ from pyspark.sql import functions as F
 from stratagrid.llm.common import joined_by_key, small_batches, text_or_empty, written
 from stratagrid.llm.simhash import _LOWER, bits_over_half, components, near_links, one_of_each
 
-PRINTS = "doc_id long, text_hash long, node long, n long, fp long, bands array<long>, bits array<long>"
+PRINTS = "doc_id long, text_hash long, node long, n long, fp long, bands array<long>, bits array<long>, odd array<long>"
 SETS = "node long, shingles array<long>"
 _CHUNK = 512
 _PLANES = 4
+_PARITY_WORDS = 64
+_PART = 500
 
 
 def _hashes(text: str, words: int, seed: int) -> tuple[int, np.ndarray]:
@@ -75,8 +81,15 @@ def _band_keys(hashes: np.ndarray, mixers: tuple) -> tuple[np.ndarray, np.ndarra
     return (least.reshape(fold.shape) * fold).sum(axis=1, dtype=np.uint64), np.packbits(bits).view(np.uint64)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch of distinct hashes, as 64-bit words."""
+    places = (hashes >> np.uint64(7)) & np.uint64(64 * _PARITY_WORDS - 1)
+    odd = np.bincount(places.astype(np.int64), minlength=64 * _PARITY_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
 def prints(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, text_hash, node (hash of the words), n (distinct shingles), fp, band keys and sketch of every row."""
+    """doc_id, text_hash, node (hash of the words), n (distinct shingles), fp, band keys, sketch and parity sketch of every row."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
@@ -85,7 +98,7 @@ def prints(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), signed(np.concatenate(x) if x else []))
         for b in batches:
-            nodes, sizes, fps, keys, bits = [], [], [], [], []
+            nodes, sizes, fps, keys, bits, odd = [], [], [], [], [], []
             for t in b.column(2):
                 node, hashes = _hashes(t.as_py(), words, seed)
                 once = np.unique(hashes)
@@ -95,7 +108,8 @@ def prints(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                 of_bands, sketch = _band_keys(once, mixers)
                 keys.append(of_bands)
                 bits.append(sketch)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(nodes), pa.array(sizes, pa.int64()), signed(fps), lists(keys), lists(bits)], ["doc_id", "text_hash", "node", "n", "fp", "bands", "bits"])
+                odd.append(_parity(once))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(nodes), pa.array(sizes, pa.int64()), signed(fps), lists(keys), lists(bits), lists(odd)], ["doc_id", "text_hash", "node", "n", "fp", "bands", "bits", "odd"])
 
     return source.mapInArrow(work, PRINTS)
 
@@ -134,6 +148,37 @@ def _sketches_fit(a: str, b: str, similarity: float, hashes: int) -> Column:
     return differ <= hashes * p + 5 * (hashes * p * (1 - p)) ** 0.5
 
 
+def _parities_fit(a: str, b: str, n_a: str, n_b: str, similarity: float) -> Column:
+    """Whether no more parities differ than sets of these sizes and that similarity can have shingles apart."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(_PARITY_WORDS)])
+    return differ <= (F.col(n_a) + F.col(n_b)) * ((1 - similarity) / (1 + similarity)) + 1e-9
+
+
+def _may_be_similar(similarity: float, hashes: int) -> Column:
+    """The test of a pair of the last step (columns of its sides end in _a and _b)."""
+    long_texts = F.least("n_a", "n_b") > 64 * _PARITY_WORDS
+    sketched = F.when(long_texts, _sketches_fit("bits_a", "bits_b", similarity, hashes)).otherwise(True)
+    return _sizes_fit("n_a", "n_b", similarity) & _parities_fit("odd_a", "odd_b", "n_a", "n_b", similarity) & sketched
+
+
+def _rest_pairs(open_: DataFrame, nodes: DataFrame, similarity: float, hashes: int) -> DataFrame:
+    """Pairs (a, b) that share an open bucket, are in different components and may be similar.
+
+    One side of a bucket is dealt into parts of about _PART texts, the other goes to each of them.
+    """
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / _PART).cast("int").alias("parts"))
+    # sketches of texts beyond the parity sketch alone are needed, the others' would only be moved
+    sketch = F.when(F.col("n") > 64 * _PARITY_WORDS, F.col("bits"))
+    rest = written(open_.join(sizes, "key").join(nodes.select("node", "odd", "bands", sketch.alias("bits")), "node"), "nearcopy-rest")
+    side = lambda s, part: rest.select("key", part.alias("part"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "odd", "bands", "bits")])
+    dealt = side("a", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    copied = side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    apart = (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
+    here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
+    pairs = dealt.join(copied, ["key", "part"]).where(apart & _may_be_similar(similarity, hashes) & here)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def _with_leader(members: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of each member of a bucket (key) and its leader; members of other roots than the main one lead first."""
     of = Window.partitionBy("key")
@@ -181,12 +226,7 @@ def similar_groups(docs: DataFrame, text_col: str, found: DataFrame, *, words: i
         links = written(links.union(_similar(_with_leader(buckets, similarity), sets, similarity)), "nearcopy-links")
     if buckets.isEmpty():
         return groups
-    rest = written(buckets.join(nodes.select("node", "bits", "bands"), "node"), "nearcopy-rest")
-    side = lambda s: rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "bits", "bands")])
-    apart = (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
-    here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
-    more = side("a").join(side("b"), "key").where(apart & _sizes_fit("n_a", "n_b", similarity) & _sketches_fit("bits_a", "bits_b", similarity, hashes) & here)
-    more = _similar(more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets, similarity)
+    more = _similar(_rest_pairs(buckets, nodes, similarity, hashes), sets, similarity)
     return components(links.union(more), "nearcopy-components")
 
 

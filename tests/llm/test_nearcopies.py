@@ -52,3 +52,43 @@ def test_the_stage_drops_a_copy_that_three_bits_miss(spark):
     assert drop_near_duplicates(docs).count() == 3
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_parity_sketches_never_count_more_than_stands_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, apart in ((1, 1), (5, 0), (60, 12), (400, 90), (3000, 700), (20_000, 4000)):
+        common, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, apart, apart))
+        differ = sum(int(x).bit_count() for x in N._parity(np.union1d(common, a)) ^ N._parity(np.union1d(common, b)))
+        real = len(np.setxor1d(np.union1d(common, a), np.union1d(common, b)))
+        assert differ <= real and (real - differ) % 2 == 0
+        assert n > 1000 or differ >= 0.9 * real
+
+
+def test_large_buckets_in_parts_and_long_texts_lose_no_pair(spark, monkeypatch):
+    """Pairs of the last step equal brute force where buckets are dealt into many parts."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = {k: rng.choices(vocabulary, k=n) for k, n in (("short", 120), ("long", 6000))}
+    rows = []
+    for kind, copies, most in (("short", 60, 4), ("long", 6, 400)):
+        for _ in range(copies):
+            w = base[kind].copy()
+            for _ in range(rng.randint(1, most)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = N.prints(docs, "doc_id", "text", 5, 48, 8, 42).drop("doc_id").persist()
+    ids = {r["node"]: i for i, r in enumerate(found.collect())}
+    from pyspark.sql import functions as F
+
+    # every text a component of its own, in every bucket that it shares
+    buckets = found.select("node", "n", F.explode("bands").alias("key"), F.col("node").alias("root"))
+    monkeypatch.setattr(N, "_PART", 7)
+    got = {frozenset((ids[r["a"]], ids[r["b"]])) for r in N._rest_pairs(buckets, found, 0.8, 384).collect()}
+    sets = [shingles(t) for _, t in rows]
+    close = {frozenset((i, j)) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert close <= got and len(close) > 100
+    assert all(len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]) for i, j in map(tuple, got))
+    found.unpersist()
