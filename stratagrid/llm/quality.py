@@ -10,8 +10,8 @@ its documents,
 so a sparse site is near the global rate and a sparse path near its site; a label is one more
 observation beside the evidence. The strengths k1, k2 are estimated from the variance between
 groups beyond that of chance (method of moments). The document's posterior odds are its
-classifier's likelihood ratio times the path's prior odds, with the document's own evidence left
-out of the prior.
+classifier's likelihood ratio times the path's prior odds, with the document's own evidence and
+own label left out of the prior: no answer is an input of its own posterior.
 
 The classifier is fitted on at most max_rows labelled rows, chosen by hash. All counts are over
 all documents, in grouped aggregates: paths first, hosts from paths, three numbers to the driver.
@@ -21,7 +21,8 @@ hosts and paths are the groups ''; a text of any length is read whole; repeated
 each, and of several texts of an id that of the least hash is fitted; ties at the threshold are
 kept; several labels of an id are
 averaged, null ones ignored; without labels of both kinds every document has the evidence 0.5
-and is kept; extra columns are kept; an empty table gives an empty result.
+and is kept; extra columns are kept, and where one has the
+name of a result, the result has underscores before its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -172,6 +173,11 @@ def site_posteriors(evidence: DataFrame) -> Sites:
     return Sites(written(both.select("_host", "_path", "host_posterior", "path_posterior", "s", "n", "hs", "hn"), "quality-sites"), rate, k1, k2)
 
 
+def score_names(docs: DataFrame) -> dict[str, str]:
+    """Names of the results beside the columns of docs: their own where they are free."""
+    return {n: free_name(docs, n) for n in ("quality_evidence", "host_posterior", "path_posterior", "quality_posterior", "quality_keep")}
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -185,10 +191,12 @@ def score_quality(
     max_rows: int = 15_000,
     broadcast_paths: int = 200_000,
 ) -> DataFrame:
-    """docs with quality_evidence, host_posterior, path_posterior, quality_posterior and quality_keep."""
+    """docs with quality_evidence, host_posterior, path_posterior, quality_posterior and quality_keep.
+
+    A result whose name docs has already is called as score_names(docs) says.
+    """
     model = fit_evidence(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
-    taken = {"quality_evidence", "host_posterior", "path_posterior", "quality_posterior", "quality_keep"}
-    docs = docs.drop(*[c for c in docs.columns if c in taken])
+    called = score_names(docs)
     p = "_q"
     while any(c.lower().startswith(p) for c in docs.columns):
         p += "_"
@@ -196,22 +204,32 @@ def score_quality(
     rows = docs.withColumns({f"{p}text": text_or_empty(text_col), f"{p}host": F.coalesce(host.cast("string"), F.lit("")), f"{p}path": F.coalesce(path.cast("string"), F.lit(""))})
     rows = add_statistics(rows, F.col(f"{p}text"), f"{p}x").withColumn(f"{p}z", model.logit(f"{p}x"))
     z = F.col(f"{p}z")
-    known = labels.select(F.col(f"`{id_col}`").alias("_lid"), F.col(f"`{label_col}`").cast("double").alias("_y")).where("_lid is not null and _y is not null").groupBy("_lid").agg(F.avg("_y").alias("_y"))
-    marked = rows.select(F.col(f"`{id_col}`").alias("_lid"), F.col(f"{p}host").alias("_host"), F.col(f"{p}path").alias("_path"), _sigmoid(z).alias("_c")).join(known, "_lid", "left")
-    seen = marked.select("_host", "_path", F.explode(F.array_compact(F.array("_c", "_y"))).alias("_p"))
+    lid, y = f"{p}lid", f"{p}y"
+    known = labels.select(F.col(f"`{id_col}`").alias(lid), F.col(f"`{label_col}`").cast("double").alias(y)).where(F.col(lid).isNotNull() & F.col(y).isNotNull()).groupBy(lid).agg(F.avg(y).alias(y))
+    known = F.broadcast(known) if known.count() <= broadcast_paths else known
+    rows = rows.join(known, F.col(f"`{id_col}`") == F.col(lid), "left")
+    seen = rows.select(F.col(f"{p}host").alias("_host"), F.col(f"{p}path").alias("_path"), F.explode(F.array_compact(F.array(_sigmoid(z), F.col(y)))).alias("_p"))
     sites = site_posteriors(seen)
-    names = {c: f"{p}{c}" for c in ("s", "n", "hs", "hn")} | {"_host": f"{p}host", "_path": f"{p}path"}
+    names = {c: f"{p}{c}" for c in ("s", "n", "hs", "hn", "host_posterior", "path_posterior")} | {"_host": f"{p}host", "_path": f"{p}path"}
     paths = sites.paths.withColumnsRenamed(names)
     paths = F.broadcast(paths) if sites.paths.count() <= broadcast_paths else paths
     base = float(np.log(model.rate / (1 - model.rate)))
-    # the prior without the document's own evidence
-    less = lambda total: F.greatest(F.col(f"{p}{total}") - _sigmoid(z), F.lit(0.0))
-    host_prior = (less("hs") + sites.host_strength * sites.rate) / (F.col(f"{p}hn") - 1 + sites.host_strength)
-    prior = (less("s") + sites.path_strength * host_prior) / (F.col(f"{p}n") - 1 + sites.path_strength)
+    # the prior without the document's own evidence and label
+    less = lambda total: F.greatest(F.col(f"{p}{total}") - _sigmoid(z) - F.coalesce(F.col(y), F.lit(0.0)), F.lit(0.0))
+    own = F.when(F.col(y).isNull(), 1).otherwise(2)
+    host_prior = (less("hs") + sites.host_strength * sites.rate) / (F.col(f"{p}hn") - own + sites.host_strength)
+    prior = (less("s") + sites.path_strength * host_prior) / (F.col(f"{p}n") - own + sites.path_strength)
     out = rows.join(paths, [f"{p}host", f"{p}path"]).withColumn(f"{p}q", _sigmoid(z - base + _logit(prior)))
-    return out.select(*columns, _sigmoid(z).alias("quality_evidence"), "host_posterior", "path_posterior", F.col(f"{p}q").alias("quality_posterior"), (F.col(f"{p}q") >= threshold).alias("quality_keep"))
+    results = {
+        "quality_evidence": _sigmoid(z),
+        "host_posterior": F.col(f"{p}host_posterior"),
+        "path_posterior": F.col(f"{p}path_posterior"),
+        "quality_posterior": F.col(f"{p}q"),
+        "quality_keep": F.col(f"{p}q") >= threshold,
+    }
+    return out.select(*columns, *[c.alias(called[n]) for n, c in results.items()])
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return score_quality(docs, labels, **options).where("quality_keep").select(*[f"`{c}`" for c in docs.columns])
+    return score_quality(docs, labels, **options).where(F.col(score_names(docs)["quality_keep"])).select(*[f"`{c}`" for c in docs.columns])

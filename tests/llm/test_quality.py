@@ -90,12 +90,24 @@ def test_document_posteriors_against_the_formulas(spark):
     model = Q.fit_evidence(docs, labels)
     c = {i: got[i]["quality_evidence"] for i in got}
     z = {i: model.bias + float(np.clip((np.array(plain(t)) - model.mean) / model.scale, -5, 5) @ model.weights) for i, t, _, _ in rows}
-    seen = [(h, p, v) for i, _, h, p in rows for v in ([c[i]] + ([float(i % 2)] if i < 40 else []))]
-    s = Q.site_posteriors(spark.createDataFrame(seen, "_host string, _path string, _p double"))
+    seen = [(i, h, p, v) for i, _, h, p in rows for v in ([c[i]] + ([float(i % 2)] if i < 40 else []))]
+    s = Q.site_posteriors(spark.createDataFrame([x[1:] for x in seen], "_host string, _path string, _p double"))
     for i, _, h, p in rows:
         assert c[i] == pytest.approx(1 / (1 + np.exp(-z[i])))
-        hv, pv = [x[2] for x in seen if x[0] == h], [x[2] for x in seen if x[:2] == (h, p)]
-        hp = (sum(hv) - c[i] + s.host_strength * s.rate) / (len(hv) - 1 + s.host_strength)
-        pp = (sum(pv) - c[i] + s.path_strength * hp) / (len(pv) - 1 + s.path_strength)
+        # what the other documents say
+        hv, pv = [x[3] for x in seen if x[0] != i and x[1] == h], [x[3] for x in seen if x[0] != i and x[1:3] == (h, p)]
+        hp = (sum(hv) + s.host_strength * s.rate) / (len(hv) + s.host_strength)
+        pp = (sum(pv) + s.path_strength * hp) / (len(pv) + s.path_strength)
         odds = np.exp(z[i]) * (1 - model.rate) / model.rate * pp / (1 - pp)
         assert got[i]["quality_posterior"] == pytest.approx(odds / (1 + odds)) and got[i]["quality_keep"] == (got[i]["quality_posterior"] >= 0.5)
+
+
+def test_columns_with_the_names_of_results_stay(spark):
+    rows = [(i, "Good words are here." if i % 2 else "*** $$$ !!!", "s", -1.0, -2.0, "mine") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality_evidence double, Path_Posterior double, quality_keep string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    site = {"host": F.col("source"), "path": F.col("quality_keep")}
+    scored = Q.score_quality(docs, labels, **site)
+    assert scored.columns == [*docs.columns, "_quality_evidence", "host_posterior", "_path_posterior", "quality_posterior", "_quality_keep"]
+    kept = Q.keep_quality(docs, labels, **site)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {r for r in rows if r[0] % 2}
