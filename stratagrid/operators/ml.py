@@ -1,7 +1,7 @@
 """Model operators on pyspark.ml: coverage sampling, feature elimination, halving search, intervals.
 
 Search loops run on the driver over Spark jobs; the data stays distributed. Impurities and losses
-are those of pyspark.ml: where a Poisson objective is wanted, a generalised linear model has it.
+are those of pyspark.ml; boosting.py has trees with a Poisson objective.
 """
 
 from __future__ import annotations

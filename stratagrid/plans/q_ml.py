@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratagrid.functions.indices import box_cox, inverse_box_cox
 from stratagrid.operators import ml as M
+from stratagrid.operators.boosting import fit_poisson_boosting
 from stratagrid.operators.metrics import regression_metrics
 from stratagrid.plans.registry import query
 from stratagrid.session import table
@@ -64,6 +65,13 @@ def poisson_glm(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, float(c)) for n, c in zip(FEATURES, model.coefficients, strict=True)], "name string, coefficient double")
 
 
+@query("poisson_boosting")
+def poisson_boosting(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _lines(spark, sf)
+    model = fit_poisson_boosting(rows, FEATURES, "price", "l_orderkey", rounds=5, depth=3, rate=0.3, l1=0.1, l2=1.0)
+    return model.transform(rows).select("l_orderkey", "line", "price", F.round("prediction", 4).alias("prediction"))
+
+
 @query("rfe")
 def rfe(spark: SparkSession, sf: str) -> DataFrame:
     kept = M.eliminate_features(RandomForestRegressor(labelCol="price", numTrees=5, maxDepth=3, seed=1), _lines(spark, sf), FEATURES, 2, 0.3)
