@@ -127,18 +127,19 @@ def _ranges(rows: DataFrame, key: str, tie: str, parts: int) -> Column:
     return base * width + share.cast("long")
 
 
-def with_next(rows: DataFrame, key: str, carry: list[str], tie: str, parts: int | None = None, size: Column | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+def with_next(rows: DataFrame, key: str, carry: list[str], tie: str, parts: int | None = None, size: Column | None = None, range_bytes: int = 64 << 20, max_ranges: int = 20_000) -> DataFrame:
     """rows with next_<c> for c in carry: the value in the next row by descending key (ties by tie, a hash), the first row's after the last.
 
-    Rows are dealt into ranges of the key, of about range_bytes by size (bytes of a row). A range
-    also gets a copy of the row that follows its last one, so each range is worked on alone; the
-    ranges' first rows (two numbers a range) are all that the driver sees. key must be a long
+    Rows are dealt into ranges of the key, of about range_bytes by size (bytes of a row); beyond
+    max_ranges of them the ranges grow instead, and their sort spills. A range also gets a copy of
+    the row that follows its last one, so each range is worked on alone; the ranges' first rows (two
+    numbers a range, so at most about max_ranges of them at any size) are all that the driver sees. key must be a long
     without nulls. Rows that share key and tie are taken to be equal.
     """
     spark = rows.sparkSession
     if parts is None:
         total = rows.agg(F.coalesce(F.sum(size if size is not None else F.lit(64)), F.lit(0))).first()[0]
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // range_bytes))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-int(total) // range_bytes), max_ranges))
     taken = [free_name(rows, n) for n in ("_part", "_g", "_above", "_most", "_least", "_to")]
     part, ghost, above, most, least, to = taken
     placed = rows.withColumn(part, _ranges(rows, key, tie, parts))

@@ -88,3 +88,10 @@ def test_one_id_in_a_third_of_the_rows_is_many_ranges(spark):
     assert max(r["count"] for r in sizes) <= 80
     long = S.fingerprint_report(docs.where("doc_id = 900")).first()
     assert long["n_chars"] == 40_000 and long["n_shingles"] == 1 and long["near_next"] == 1.0
+
+
+def test_ranges_are_bounded_at_every_size(spark):
+    docs = spark.createDataFrame([(i, "some text") for i in range(40)], "key long, text string").withColumn("tie", F.xxhash64("text"))
+    for limit in (2, 9):
+        out = S.with_next(docs, "key", ["key"], "tie", size=F.lit(1 << 40), max_ranges=limit).collect()
+        assert sorted((r["key"], r["next_key"]) for r in out) == [(i, (i - 1) % 40) for i in range(40)]
