@@ -81,3 +81,13 @@ def test_many_sources_run_out_one_after_the_other(spark):
     got = M.mix_sources(docs, {"s3": 5, "s20": 4}, block_rows=2).collect()
     assert len(got) == len(rows)
     check([(r["source"], r["mix_slot"], r["mix_order"]) for r in got], {"s3": 5, "s20": 4}, 2)
+
+
+def test_shares_are_reduced_and_long_periods_are_quick(spark):
+    assert M.period_slots(spark, [600, 400, 200]) == edf([3, 2, 1])
+    shares = [3, 333, 1, 333, 997, 3]
+    assert M.period_slots(spark, shares) == edf(shares)
+    rows = [(i, f"s{i % 7 % 3}", f"t{i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = M.mix_sources(docs, {"s0": 333_333, "s1": 666_667, "s2": 200_000}, block_rows=1).collect()
+    check([(r["source"], r["mix_slot"], r["mix_order"]) for r in got], {"s0": 333_333, "s1": 666_667, "s2": 200_000}, 1)
