@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stratagrid.operators import geometry as G
 from stratagrid.plans.registry import query
-from stratagrid.session import table
+from stratagrid.session import scratch, table
+from stratagrid.sources import vector
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,3 +157,22 @@ def largest_part(spark: SparkSession, sf: str) -> DataFrame:
 def inner_points(spark: SparkSession, sf: str) -> DataFrame:
     p = _parted(spark, sf).withColumn("at", G.inner_point(F.col("rings")))
     return p.select("s_suppkey", G.point_in_polygon(F.col("at.x"), F.col("at.y"), F.col("rings")).alias("inside"))
+
+
+@query(
+    "vector_layer",
+    "WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_acctbal AS DOUBLE) AS s_acctbal, s_acctbal > 0 AS in_credit, CAST(s_suppkey % 5 + 1 AS DOUBLE) AS a FROM supplier) SELECT s_suppkey, s_name, s_acctbal, in_credit, 2 * (a + 3) * (a + 3) - 4 + a * a AS area, 2 AS n_parts FROM s",
+)
+def vector_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """Diamonds with a hole and a second part, written as a layer by the executors and read back in its types."""
+    s = table(spark, sf, "supplier")
+    x, a = (F.col("s_suppkey") * 7 % 90).cast("double"), (F.col("s_suppkey") % 5 + 1).cast("double")
+    at = lambda *p: F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in p])
+    zero, h = F.lit(0.0), a + 3
+    diamond, hole = at((x - h, zero), (x, -h), (x + h, zero), (x, h)), at((x - 1, zero - 1), (x - 1, zero + 1), (x + 1, zero + 1), (x + 1, zero - 1))
+    second = at((x + 100, zero), (x + 100 + a, zero), (x + 100 + a, a), (x + 100, a))
+    rows = s.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"), (F.col("s_acctbal") > 0).alias("in_credit"), F.array(second, hole, diamond).alias("rings"))
+    folder = scratch(spark, "layer")
+    vector.write_layer(rows, folder, "suppliers")
+    back = vector.read_layer(spark, folder, "suppliers")
+    return back.select("s_suppkey", "s_name", "s_acctbal", "in_credit", G.polygon_area(F.col("rings")).alias("area"), F.size(G.parts_of(F.col("rings"))).alias("n_parts"))

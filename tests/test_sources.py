@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 import shutil
 import sqlite3
@@ -117,3 +118,46 @@ def test_polygon_with_hole_and_raster(spark):
     cells = {(r["row"], r["col"]) for r in G.rasterize(df, "rings", 1.0).collect()}
     assert cells == {(i, j) for i in range(4) for j in range(4)} - {(i, j) for i in (1, 2) for j in (1, 2)}
     assert G.least_circle([(0, 0), (2, 0), (1, 1), (1, 0.2)]) == pytest.approx((1, 0, 1))
+
+
+def test_layer_round_trip_with_types_holes_and_parts(spark, tmp_path):
+    ring = lambda a, b, y=0.0: [(a, a + y), (b, a + y), (b, b + y), (a, b + y)]
+    day, at = datetime.date(2020, 2, 29), datetime.datetime(2021, 1, 2, 3, 4, 5, 678901)
+    rows = [
+        (1, "a'\"b", 2.5, True, day, at, "x", [ring(0.0, 4.0), ring(1.0, 3.0), ring(10.0, 11.0)]),
+        (2, None, None, None, None, None, None, None),
+        (3, "", float("1e300"), False, day, at, "y", []),
+        (4, "long " * 5000, -0.1, False, day, at, "y", [[*ring(0.0, 1.0), (0.0, 0.0)]]),
+        (4, "twice", -0.1, False, day, at, "y", [ring(0.0, 2.0)]),
+    ]
+    df = spark.createDataFrame(rows, f"k bigint, name string, v double, ok boolean, d date, t timestamp, wkb string, rings {G.RINGS}").repartition(3)
+    folder = str(tmp_path / "layer")
+    vector.write_layer(df, folder, "Grid cells", srs=4326, file_rows=1)
+    (tmp_path / "layer" / "part-000000-left.gpkg").write_bytes(b"of a failed attempt")
+    back = vector.read_layer(spark, folder, "Grid cells")
+    assert dict(back.dtypes) == {"fid": "bigint", "k": "bigint", "name": "string", "v": "double", "ok": "boolean", "d": "date", "t": "timestamp", "wkb": "string", "rings": df.schema["rings"].dataType.simpleString()}
+    key = lambda r: (r["k"], r["name"] or "")
+    got = sorted(back.withColumn("area", G.polygon_area(F.col("rings"))).collect(), key=key)
+    for r, want in zip(got, sorted(rows, key=lambda r: (r[0], r[1] or "")), strict=True):
+        assert tuple(r)[1:8] == want[:7]
+    assert [r["area"] for r in got] == [13, None, None, 1, 4]
+    files = vector.files_of(folder)
+    assert len(files) == 5
+    with sqlite3.connect(files[0]) as c:
+        assert c.execute("PRAGMA integrity_check").fetchone() == ("ok",)
+        boxes = c.execute('SELECT minx, maxx FROM "rtree_Grid cells_geom"').fetchall()
+        assert len(boxes) <= 1 and c.execute("SELECT srs_id FROM gpkg_contents").fetchone() == (4326,)
+    vector.write_layer(df.where("k = 1"), folder, "Grid cells", srs=4326)
+    assert vector.read_layer(spark, folder, "Grid cells").count() == 6
+    empty = str(tmp_path / "empty")
+    vector.write_layer(df.where("k < 0"), empty, "e")
+    assert vector.read_layer(spark, empty, "e").collect() == []
+
+
+def test_rings_of_either_byte_order_and_heights():
+    flat = struct.pack(">BIIIdddddd", 0, 3, 1, 3, 0, 0, 1, 0, 1, 1)
+    high = struct.pack("<BIII9d", 1, 1003, 1, 3, 0, 0, 9, 1, 0, 9, 1, 1, 9)
+    want = [[{"x": 0, "y": 0}, {"x": 1, "y": 0}, {"x": 1, "y": 1}]]
+    assert vector.rings_of(flat) == want and vector.rings_of(high) == want
+    both = struct.pack("<BII", 1, 7, 3) + flat + struct.pack("<BIdd", 1, 1, 5, 5) + high
+    assert vector.rings_of(both) == want * 2 and vector.rings_of(None) is None
