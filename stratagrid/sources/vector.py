@@ -10,7 +10,8 @@ Layers are written from the executors: each task makes GeoPackages of at most `f
 in memory, with typed columns, envelopes and an R-tree, and names them by attempt. The job's commit
 lists the files that count, so files of failed or repeated tasks are never read. An empty table
 makes one file with an empty layer; null and empty geometries are kept as NULL; repeated features
-are each written; columns named fid are kept as the feature id only if they are integers.
+are each written. An integer column fid is the feature id and may not repeat within a file; a fid
+of another type, or a column type that a layer cannot hold, is refused.
 """
 
 from __future__ import annotations
