@@ -98,6 +98,11 @@ def clip(v: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(v, F.lit(high)), F.lit(low))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """v times ten to the digits, rounded half away from zero, scaled back: DuckDB's rounding of doubles, where F.round takes the shortest decimal."""
+    return F.round(v * 10.0**digits) / 10.0**digits
+
+
 def density(heads: Column, area: Column) -> Column:
     """Heads per area; a zero area or a zero density is NULL."""
     d = ratio(heads, area)

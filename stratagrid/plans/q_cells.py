@@ -44,7 +44,7 @@ round(((nir - red) / nullif(nir + red, 0) - 0.08) * nir, 5) AS nirv, round(((swi
 )
 def spectral_indices(spark: SparkSession, sf: str) -> DataFrame:
     red, nir, swir, blue = (F.col(c) for c in ("red", "nir", "swir", "blue"))
-    return A.bands(spark, sf).select("cell", "period", F.round(I.normalized_difference(nir, red), 6).alias("ndvi"), F.round(I.evi(nir, red, blue), 5).alias("evi"), F.round(I.nirv(nir, red), 5).alias("nirv"), F.round(I.bsi(blue, red, nir, swir), 6).alias("bsi"))
+    return A.bands(spark, sf).select("cell", "period", I.rounded(I.normalized_difference(nir, red), 6).alias("ndvi"), I.rounded(I.evi(nir, red, blue), 5).alias("evi"), I.rounded(I.nirv(nir, red), 5).alias("nirv"), I.rounded(I.bsi(blue, red, nir, swir), 6).alias("bsi"))
 
 
 @query("norm_diff_scaled", "WITH t AS (SELECT l_partkey AS part, CAST(year(l_shipdate) AS INT) AS year, sum(l_quantity) AS a, round(sum(l_extendedprice) / 2000, 6) AS b FROM lineitem GROUP BY 1, 2) SELECT part, year, round(CASE WHEN a + b <> 0 THEN greatest(least((a - b) / (a + b) * 125 + 125, 250), 0) END, 4) AS v FROM t")
