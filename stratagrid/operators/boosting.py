@@ -1,9 +1,9 @@
 """Boosted trees with a Poisson objective, L1 and L2 penalties and early stopping.
 
 The boosting of pyspark.ml has squared, absolute and logistic losses only. Here the rate is
-exp(base + sum of trees), and each level of a tree is one grouped aggregate: rows give their
-gradient exp(f) - y and curvature exp(f) to (node, feature, bin), partial sums come before the
-shuffle, and running sums over the bins give the gain of every cut,
+exp(base + sum of trees). Rows of the same bins are counted and added up once, and each level of a
+tree is one grouped aggregate over these cases: they give their gradient n exp(f) - y and curvature
+n exp(f) to (node, feature, bin), partial sums come before the shuffle, and running sums over the bins give the gain of every cut,
 
     s(GL)^2 / (HL + l2) + s(GR)^2 / (HR + l2) - s(G)^2 / (H + l2),    s(x): x moved by l1 towards 0.
 
@@ -132,15 +132,22 @@ def fit_poisson_boosting(
     as_double = used.where(~held).select(*[F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, f in enumerate(features)])
     found = as_double.approxQuantile([f"x{i}" for i in range(len(features))], [i / bins for i in range(1, bins)], 0.1 / bins)
     model = PoissonBoosting(list(features), [sorted(set(c)) for c in found], math.log(mean), depth)
-    base = used.select(model.bins().alias("bins"), y.alias("y"), held.alias("held")).persist()
-    deviance = lambda: base.where("held").agg(F.avg(poisson_deviance(F.col("y"), F.exp(model.margin(F.col("bins")))))).first()[0]
+    # rows of the same bins have the same rate, so their sums say all that trees and deviances need
+    cases = used.select(model.bins().alias("bins"), y.alias("y"), held.alias("held")).groupBy("bins", "held")
+    base = cases.agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.when(F.col("y") > 0, F.col("y") * F.log("y")).otherwise(0.0)).alias("ylogy")).persist()
+
+    def deviance() -> float | None:
+        f = model.margin(F.col("bins"))
+        of = 2 * (F.col("ylogy") - F.col("y") * f - F.col("y") + F.col("n") * F.exp(f))
+        return base.where("held").agg(F.sum(of) / F.sum("n")).first()[0]
+
     try:
         best = deviance()
         stops = best is not None
         model.deviances = [best] if stops else []
         for _ in range(rounds):
             mu = F.exp(model.margin(F.col("bins")))
-            rows = base.where(~F.col("held")).select("bins", "y", mu.alias("h")).withColumn("g", F.col("h") - F.col("y"))
+            rows = base.where(~F.col("held")).select("bins", "y", (F.col("n") * mu).alias("h")).withColumn("g", F.col("h") - F.col("y"))
             model.trees.append(_grow(rows, depth, rate, l1, l2, least))
             if stops:
                 model.deviances.append(deviance())
