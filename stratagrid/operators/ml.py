@@ -23,6 +23,23 @@ def assemble(df: DataFrame, features: list[str], name: str = "features") -> Data
     return VectorAssembler(inputCols=features, outputCol=name, handleInvalid="skip").transform(df)
 
 
+def spread(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df dealt into parts of about most rows where it has more, as learners cache and read each part whole; the parts of files grow with row groups."""
+    n = -(-df.count() // most)
+    return df if n < 2 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def own_columns(estimator, df: DataFrame, *more: str) -> DataFrame:
+    """df with the columns that the estimator reads, and more."""
+    own = {estimator.getOrDefault(p) for p in estimator.params if p.name in ("featuresCol", "labelCol", "weightCol") and (estimator.isSet(p) or estimator.hasDefault(p))}
+    return df.select(*[c for c in df.columns if c in own or c in more])
+
+
+def fit(estimator, df: DataFrame):
+    """The fitted model, over its own columns of df in parts of bounded size."""
+    return estimator.fit(spread(own_columns(estimator, df)))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -47,7 +64,7 @@ def coverage_sample(df: DataFrame, features: list[str], key: str, components: in
     x = assemble(df.dropna(subset=features), features, "_raw")
     scaled = StandardScaler(inputCol="_raw", outputCol="_std", withMean=True).fit(x).transform(x)
     reduced = PCA(k=components, inputCol="_std", outputCol="_pc").fit(scaled).transform(scaled)
-    model = KMeans(k=clusters, seed=seed, featuresCol="_pc", predictionCol="cluster").fit(reduced)
+    model = fit(KMeans(k=clusters, seed=seed, featuresCol="_pc", predictionCol="cluster"), reduced)
     centres = df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, _c array<double>")
     at = model.transform(reduced).join(F.broadcast(centres), "cluster").withColumn("_d", squared_distance(vector_to_array("_pc"), F.col("_c")))
     best = at.groupBy("cluster").agg(F.count("*").alias("size"), F.min(F.struct("_d", key)).alias("_b"))
@@ -66,7 +83,7 @@ def cross_predict(estimator, df: DataFrame, fold: str, folds: int) -> DataFrame:
     """Held-out predictions of every row: one fit a fold."""
     out = None
     for k in range(folds):
-        part = estimator.fit(df.where(F.col(fold) != k)).transform(df.where(F.col(fold) == k))
+        part = fit(estimator, df.where(F.col(fold) != k)).transform(df.where(F.col(fold) == k))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -82,7 +99,7 @@ def eliminate_features(estimator, df: DataFrame, features: list[str], keep: int,
     """Recursive elimination: the least important share goes until keep are left."""
     own = list(features)
     while len(own) > keep:
-        model = estimator.fit(assemble(df, own))
+        model = fit(estimator, assemble(df, own))
         drop = min(len(own) - keep, max(1, int(step * len(own))))
         own = [f for f, _ in importances(model, own)[: len(own) - drop]]
     return sorted(own, key=features.index)
@@ -145,7 +162,7 @@ def bootstrap_ensemble(estimator, df: DataFrame, key: str, rounds: int, seed: in
     """Models fitted with Poisson weights by hash; the estimator takes weightCol `boot`."""
     from stratagrid.operators.sampling import bootstrap_weights
 
-    w = bootstrap_weights(df, key, rounds, seed).persist()
+    w = bootstrap_weights(spread(own_columns(estimator, df, key)), key, rounds, seed).persist()
     models = [estimator.fit(w.withColumn("boot", F.col(f"boot_{r}").cast("double")).where("boot > 0")) for r in range(1, rounds + 1)]
     w.unpersist()
     return models

@@ -39,7 +39,7 @@ def kmeans_fscs(spark: SparkSession, sf: str) -> DataFrame:
 @query("rf_interval")
 def rf_interval(spark: SparkSession, sf: str) -> DataFrame:
     x = M.assemble(_lines(spark, sf).withColumn("bc", box_cox(F.col("price"), 0.5)), FEATURES)
-    model = RandomForestRegressor(labelCol="bc", numTrees=10, maxDepth=4, seed=1).fit(x)
+    model = M.fit(RandomForestRegressor(labelCol="bc", numTrees=10, maxDepth=4, seed=1), x)
     out = M.forest_interval(model, x, back=lambda t: inverse_box_cox(t, 0.5))
     return out.select("l_orderkey", "l_partkey", F.round("mean", 4).alias("mean"), F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
@@ -61,7 +61,7 @@ def group_cv(spark: SparkSession, sf: str) -> DataFrame:
 @query("poisson_glm")
 def poisson_glm(spark: SparkSession, sf: str) -> DataFrame:
     x = M.assemble(_lines(spark, sf), FEATURES)
-    model = GeneralizedLinearRegression(labelCol="price", family="poisson", link="log", regParam=0.01).fit(x)
+    model = M.fit(GeneralizedLinearRegression(labelCol="price", family="poisson", link="log", regParam=0.01), x)
     return spark.createDataFrame([(n, float(c)) for n, c in zip(FEATURES, model.coefficients, strict=True)], "name string, coefficient double")
 
 
@@ -95,27 +95,27 @@ def automl(spark: SparkSession, sf: str) -> DataFrame:
 @query("class_probability")
 def class_probability(spark: SparkSession, sf: str) -> DataFrame:
     x = M.assemble(_lines(spark, sf), FEATURES)
-    model = RandomForestClassifier(labelCol="returned", numTrees=8, maxDepth=4, seed=1).fit(x)
+    model = M.fit(RandomForestClassifier(labelCol="returned", numTrees=8, maxDepth=4, seed=1), x)
     return M.class_percent(model, x).select("l_orderkey", F.round("percent", 4).alias("percent"))
 
 
 @query("mlp_classifier")
 def mlp_classifier(spark: SparkSession, sf: str) -> DataFrame:
     x = M.assemble(_lines(spark, sf), FEATURES)
-    model = MultilayerPerceptronClassifier(labelCol="returned", layers=[len(FEATURES), 6, 2], maxIter=15, seed=1).fit(x)
+    model = M.fit(MultilayerPerceptronClassifier(labelCol="returned", layers=[len(FEATURES), 6, 2], maxIter=15, seed=1), x)
     return model.transform(x).groupBy("returned", "prediction").agg(F.count("*").alias("n"))
 
 
 @query("importance")
 def importance(spark: SparkSession, sf: str) -> DataFrame:
-    model = RandomForestRegressor(labelCol="price", numTrees=8, maxDepth=4, seed=1).fit(M.assemble(_lines(spark, sf), FEATURES))
+    model = M.fit(RandomForestRegressor(labelCol="price", numTrees=8, maxDepth=4, seed=1), M.assemble(_lines(spark, sf), FEATURES))
     return spark.createDataFrame(M.importances(model, FEATURES), "name string, importance double")
 
 
 @query("partial_dependence")
 def partial_dependence(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf)
-    model = RandomForestRegressor(labelCol="price", numTrees=8, maxDepth=4, seed=1).fit(M.assemble(rows, FEATURES))
+    model = M.fit(RandomForestRegressor(labelCol="price", numTrees=8, maxDepth=4, seed=1), M.assemble(rows, FEATURES))
     return M.partial_dependence(model, rows, FEATURES, "quantity", [1, 10, 25, 50]).select("value", F.round("prediction", 4).alias("prediction"))
 
 
