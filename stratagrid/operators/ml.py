@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.operators.metrics import regression_metrics
+from stratagrid.session import scratch
 
 
 def assemble(df: DataFrame, features: list[str], name: str = "features") -> DataFrame:
@@ -40,6 +41,18 @@ def fit(estimator, df: DataFrame):
     return estimator.fit(spread(own_columns(estimator, df)))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once below the shared folder and read back, for searches that go over it many times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cases(df: DataFrame, keys: list[str], label: str, weight: str) -> DataFrame:
+    """keys, the mean label and the count of rows (weight) of equal keys: all that squared and Poisson losses take from them."""
+    return df.groupBy(*keys).agg(F.avg(label).alias(label), F.count("*").cast("double").alias(weight))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -79,11 +92,12 @@ def grouped_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     return group_folds(df, group, folds)
 
 
-def cross_predict(estimator, df: DataFrame, fold: str, folds: int) -> DataFrame:
-    """Held-out predictions of every row: one fit a fold."""
+def cross_predict(estimator, df: DataFrame, fold: str, folds: int, over: DataFrame | None = None) -> DataFrame:
+    """Held-out predictions of every row of df, or of over: one fit a fold, on df."""
+    over = df if over is None else over
     out = None
     for k in range(folds):
-        part = fit(estimator, df.where(F.col(fold) != k)).transform(df.where(F.col(fold) == k))
+        part = fit(estimator, df.where(F.col(fold) != k)).transform(over.where(F.col(fold) == k))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -210,12 +224,16 @@ def model_zoo(label: str) -> dict[str, Any]:
 
 def automatic_search(df: DataFrame, label: str, group: str, folds: int = 3) -> list[tuple[str, float]]:
     """Names of the zoo with their held-out d2, best first."""
-    part = grouped_folds(df, group, folds).persist()
+    part = kept(grouped_folds(df.select("features", label, group), group, folds), "search")
+    few = cases(part, ["fold", "features"], label, "weight").persist()
     out = []
     for name, est in model_zoo(label).items():
-        held = cross_predict(est, part, "fold", folds).withColumn("prediction", F.greatest("prediction", F.lit(1e-6)))
-        out.append((name, float(regression_metrics(held, [], label, "prediction").first()["d2"])))
-    part.unpersist()
+        # bags of the forest are drawn from rows; the other losses have no draws
+        rows = part if name == "forest" else few
+        est = est if name == "forest" else est.setWeightCol("weight")
+        held = cross_predict(est, rows, "fold", folds, part).withColumn("prediction", F.greatest("prediction", F.lit(1e-6)))
+        out.append((name, float(regression_metrics(held, [], label, "prediction").select("d2").first()[0])))
+    few.unpersist()
     return sorted(out, key=lambda t: -t[1])
 
 

@@ -53,7 +53,8 @@ def gbt_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("group_cv")
 def group_cv(spark: SparkSession, sf: str) -> DataFrame:
-    x = M.assemble(M.grouped_folds(_lines(spark, sf), "l_partkey", 3), FEATURES)
+    rows = _lines(spark, sf).select("l_partkey", "price", *FEATURES)
+    x = M.assemble(M.kept(M.grouped_folds(rows, "l_partkey", 3), "folds"), FEATURES)
     held = M.cross_predict(RandomForestRegressor(labelCol="price", numTrees=8, maxDepth=4, seed=1), x, "fold", 3)
     return regression_metrics(held, ["fold"], "price", "prediction")
 
