@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagrid.session import table
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell, period, red, nir, swir, blue): mean event value by kind, user as cell, five days as period."""
-    e = table(spark, sf_dir, "events")
+    """(cell, period, red, nir, swir, blue): mean event value by kind, user as cell, five days as period.
+
+    The values of a mean are added in the order of the table's rows, as a scan by the SQL adds them, so that its last bit does not depend on splits and shuffles.
+    """
+    kinds = {"view": "red", "click": "nir", "signup": "swir", "error": "blue"}
     period = F.floor((F.dayofmonth("ts") - 1) / 5).cast("int")
-    kinds = ["view", "click", "signup", "error"]
-    wide = e.where(F.col("event_type").isin(kinds)).groupBy(F.col("user_id").alias("cell"), period.alias("period")).pivot("event_type", kinds).agg(F.avg("value"))
-    return wide.withColumnsRenamed({"view": "red", "click": "nir", "signup": "swir", "error": "blue"})
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin(list(kinds)))
+    e = e.select(F.col("user_id").alias("cell"), period.alias("period"), "event_type", "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    whole = Window.partitionBy("cell", "period").orderBy("file", "row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    means = [F.avg(F.when(F.col("event_type") == k, F.col("value"))).over(whole).alias(c) for k, c in kinds.items()]
+    return e.select("cell", "period", *means).dropDuplicates(["cell", "period"])
 
 
 BANDS = """bands AS (
